@@ -14,6 +14,7 @@ from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normali
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, functions as F
 
+from snippetry.operators.bounded import join_checked
 from snippetry.schemas import VOCABULARY
 from snippetry.session import stage
 
@@ -72,11 +73,10 @@ def top_grams(counts: DataFrame, k: int) -> DataFrame:
 
 
 def with_document_counts(vocabulary: DataFrame, df: DataFrame, text: str, ngram_range: tuple[int, int]) -> DataFrame:
-    """Append df: documents holding each gram. The vocabulary is at most max_features rows, so the
-    grams of each document are filtered in place before they are counted."""
+    """Append df: documents holding each gram. The vocabulary is small, so the grams of each document
+    are filtered in place before they are counted."""
     held = df.select(F.explode(F.array_distinct(char_grams(text, ngram_range))).alias("gram"))
-    counted = held.join(F.broadcast(vocabulary), "gram").groupBy("gram", "cf").agg(F.count("*").alias("df"))
-    return counted
+    return join_checked(held, vocabulary, "gram").groupBy("gram", "cf").agg(F.count("*").alias("df"))
 
 
 class CharTfidf:
@@ -143,5 +143,5 @@ class CharTfidfModel:
                 F.col("c.indices").alias("idx"), F.col("c.values").alias("tf"), F.col("w.values").alias("weight")
             ))
         )
-        names = F.broadcast(self.vocabulary(df.sparkSession).select("idx", "gram"))
-        return pairs.join(names, "idx").select(*cols, "gram", F.col("tf").cast("bigint").alias("tf"), "weight")
+        names = self.vocabulary(df.sparkSession).select("idx", "gram")
+        return join_checked(pairs, names, "idx").select(*cols, "gram", F.col("tf").cast("bigint").alias("tf"), "weight")

@@ -159,38 +159,39 @@ def train_lr(train: DataFrame, c: float = 10.0, tol: float = 3e-3, max_iter: int
     return Trained(PipelineModel([*fitted.stages, model]), labels, fitted.scaler, fitted.tfidf)
 
 
-def prefix_auc(model, rows: DataFrame, prefixes: list[int]) -> dict[int, float]:
-    """Validation AUC of the first m trees for every m in ``prefixes``, in one grouped job."""
-    scored = rows.select("features", "label_idx")
-    for i, tree in enumerate(model.trees[: max(prefixes)]):
-        scored = tree.setFeaturesCol("features").setPredictionCol(f"t{i}").transform(scored)
-    weights = model.treeWeights
-    running, sums = None, []
-    for i in range(max(prefixes)):
-        term = F.col(f"t{i}") * F.lit(weights[i])
-        running = term if i == 0 else F.col(f"m{i - 1}") + term
-        scored = scored.withColumn(f"m{i}", running)
-        if i + 1 in prefixes:
-            sums.append(F.struct(F.lit(i + 1).alias("prefix"), F.col(f"m{i}").alias("margin")))
-    long = scored.select("label_idx", F.inline(F.array(*sums)))
-    return {r["prefix"]: r["auc"] for r in roc_auc(long, "margin", "label_idx", ["prefix"]).collect()}
-
-
 def best_prefix(model, rows: DataFrame, patience: int) -> tuple[int, list[tuple[int, float]]]:
     """Number of trees with the highest validation AUC, stopping once ``patience`` further trees bring
-    no gain. Prefixes are scored ``patience`` at a time."""
+    no gain, and the AUC per tree count.
+
+    Trees are taken ``patience`` at a time: one job scores the rows with them on top of the margin so
+    far, and one grouped AUC covers all tree counts of the block.
+    """
     best, best_auc, curve = 1, float("-inf"), []
-    total = len(model.trees)
-    for start in range(1, total + 1, patience):
-        block = list(range(start, min(start + patience, total + 1)))
-        found = prefix_auc(model, rows, block)
-        for m in block:
-            auc = found.get(m)
-            curve.append((m, auc))
-            if auc is not None and auc > best_auc:
-                best, best_auc = m, auc
+    trees, weights = model.trees, model.treeWeights
+    margins = rows.select("features", "label_idx", F.lit(0.0).alias("margin"))
+    for start in range(0, len(trees), patience):
+        block = range(start, min(start + patience, len(trees)))
+        scored = margins
+        for i in block:
+            scored = trees[i].setFeaturesCol("features").setPredictionCol(f"t{i}").transform(scored)
+        terms = F.array(*[F.struct(F.lit(i + 1).alias("trees"), (F.col(f"t{i}") * F.lit(weights[i])).alias("gain")) for i in block])
+        running = F.aggregate(
+            terms,
+            F.array(F.struct(F.lit(start).alias("trees"), F.col("margin"))),
+            lambda acc, t: F.array_append(
+                acc, F.struct(t["trees"].alias("trees"), (F.element_at(acc, -1)["margin"] + t["gain"]).alias("margin"))
+            ),
+        )
+        scored = stage(scored.select("features", "label_idx", running.alias("steps")), "tree-margins")
+        long = scored.select("label_idx", F.inline(F.slice("steps", 2, len(block))))
+        found = {r["trees"]: r["auc"] for r in roc_auc(long, "margin", "label_idx", ["trees"]).collect()}
+        for m in (i + 1 for i in block):
+            curve.append((m, found.get(m)))
+            if found.get(m) is not None and found[m] > best_auc:
+                best, best_auc = m, found[m]
             elif m - best >= patience:
                 return best, curve
+        margins = scored.select("features", "label_idx", F.element_at("steps", -1)["margin"].alias("margin"))
     return best, curve
 
 

@@ -43,6 +43,14 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType = CORPUS, na_v
     )
 
 
+def spread(df: DataFrame, key: str = "snippet_id") -> DataFrame:
+    """A freshly read table that comes in fewer pieces than there are cores is redistributed by its key
+    before CPU-heavy work. One with more pieces, as any large one has, is left alone. Call it on a
+    plain scan: asking for its partitions runs nothing."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def with_content_id(df: DataFrame, out: str = "snippet_id", chunk: int = 100_000) -> DataFrame:
     """A stable key for rows that have none: SHA-256 of the row's content plus a copy number.
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from snippetry.sources.corpus import spread
+
 HUMAN, MACHINE = "Human_written", "AI_generated"
 
 
@@ -13,9 +15,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def snippets(spark: SparkSession, folder: str) -> DataFrame:
     """(snippet_id, code, task_name) of every document."""
-    return table(spark, folder, "documents").select(
+    documents = table(spark, folder, "documents").select(
         F.col("doc_id").alias("snippet_id"), F.col("text").alias("code"), F.col("source").alias("task_name")
     )
+    return spread(documents)
 
 
 def labels(spark: SparkSession, folder: str) -> DataFrame:
@@ -70,6 +73,5 @@ def template_snippets(spark: SparkSession, folder: str) -> DataFrame:
     pieces = [F.repeat(F.lit(BLOCKS[b]), n.cast("int")) for b, n in block_repeats().items()]
     head = F.concat(F.lit("import os.path as osp\nfrom sys import path\n# "), F.col("p_name"), F.lit("\n"))
     stray = F.when(F.col("p_partkey") % 10 == 0, F.lit(")")).otherwise(F.lit(""))
-    return table(spark, folder, "part").select(
-        F.col("p_partkey").alias("snippet_id"), F.concat(head, *pieces, stray).alias("code")
-    )
+    parts = spread(table(spark, folder, "part").select("p_partkey", "p_name"), "p_partkey")
+    return parts.select(F.col("p_partkey").alias("snippet_id"), F.concat(head, *pieces, stray).alias("code"))
