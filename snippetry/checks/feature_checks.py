@@ -104,7 +104,7 @@ FROM grams GROUP BY snippet_id, n""")
 def char_ngrams(spark, folder):
     cleaned = snippets(spark, folder).select("snippet_id", F.lower(collapse_whitespace("code")).alias("t"))
     per_n = F.array(*[F.struct(F.lit(n).alias("n"), grams_of_length("t", n).alias("g")) for n in range(3, 7)])
-    return cleaned.select("snippet_id", F.inline(per_n)).where(F.size("g") > 0).select(
+    return cleaned.select("snippet_id", F.inline_outer(per_n)).where(F.size("g") > 0).select(
         "snippet_id", "n", F.size("g").cast("bigint").alias("n_grams"),
         F.size(F.array_distinct("g")).cast("bigint").alias("n_distinct"),
         F.array_min("g").alias("first_gram"), F.array_max("g").alias("last_gram"),
@@ -138,8 +138,7 @@ def _cleaned_split(spark, folder):
 
 
 def _fitted(spark, folder, k):
-    rows = _cleaned_split(spark, folder)
-    return rows, CharTfidf("code_clean", (3, 6), k).fit(rows.where("split = 'train'"))
+    return CharTfidf("code_clean", (3, 6), k).fit(_cleaned_split(spark, folder).where("split = 'train'"))
 
 
 TRAIN = f"{SPLIT}, train AS (SELECT snippet_id, code FROM splitted WHERE split = 'train')"
@@ -147,12 +146,12 @@ TRAIN = f"{SPLIT}, train AS (SELECT snippet_id, code FROM splitted WHERE split =
 
 @query(f"WITH {TRAIN}, {vocabulary(VOCABULARY_SIZE)} SELECT gram, CAST(idx AS INT) AS idx, cf FROM vocab")
 def ngram_vocab_index(spark, folder):
-    return _fitted(spark, folder, VOCABULARY_SIZE)[1].vocabulary(spark).select("gram", "idx", "cf")
+    return _fitted(spark, folder, VOCABULARY_SIZE).vocabulary(spark).select("gram", "idx", "cf")
 
 
 @query(f"WITH {TRAIN}, {vocabulary(VOCABULARY_SIZE)} SELECT gram, df, round(idf, 6) AS idf FROM vocab")
 def idf_smooth(spark, folder):
-    return rounded(_fitted(spark, folder, VOCABULARY_SIZE)[1].vocabulary(spark).select("gram", "df", "idf"), "idf")
+    return rounded(_fitted(spark, folder, VOCABULARY_SIZE).vocabulary(spark).select("gram", "df", "idf"), "idf")
 
 
 _WEIGHTS = """raw_w AS (SELECT t.{key}, t.gram, t.tf, t.tf * v.idf AS w FROM {tf} t JOIN vocab v ON t.gram = v.gram),
@@ -163,8 +162,9 @@ weights AS (SELECT {key}, gram, tf, w / norm AS weight FROM raw_w JOIN norms USI
 @query(f"""WITH {TRAIN}, {vocabulary(WEIGHTS_VOCABULARY)}, {_WEIGHTS.format(key="snippet_id", tf="tf")}
 SELECT snippet_id, gram, tf, round(weight, 6) AS weight FROM weights""")
 def tfidf_weights(spark, folder):
-    rows, model = _fitted(spark, folder, WEIGHTS_VOCABULARY)
-    return rounded(model.weights(rows.where("split = 'train'"), "snippet_id"), "weight")
+    train = _cleaned_split(spark, folder).where("split = 'train'")
+    model, counted = CharTfidf("code_clean", (3, 6), WEIGHTS_VOCABULARY).fit_counted(train)
+    return rounded(model.weights(counted, "snippet_id"), "weight")
 
 
 _SPOKEN = """spoken AS (SELECT CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) AS k, text AS code FROM conversations)"""
@@ -176,7 +176,7 @@ sums AS (SELECT k, count(*) AS n_known, round(sum(weight), 5) AS total, round(ma
 SELECT spoken.k, coalesce(n_known, 0) AS n_known, coalesce(total, 0) AS total, coalesce(top, 0) AS top
 FROM spoken LEFT JOIN sums ON spoken.k = sums.k""")
 def tfidf_transform_unseen(spark, folder):
-    model = _fitted(spark, folder, VOCABULARY_SIZE)[1]
+    model = _fitted(spark, folder, VOCABULARY_SIZE)
     spoken = table(spark, folder, "conversations").select(
         F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("k"),
         collapse_whitespace("text").alias("code_clean"),
@@ -196,7 +196,7 @@ SELECT s.snippet_id, CAST(r.pos AS INT) AS pos, CAST(coalesce(v, 0) AS DOUBLE) A
 FROM snippets s CROSS JOIN (SELECT unnest(range(64)) AS pos) r LEFT JOIN sums ON sums.snippet_id = s.snippet_id AND sums.pos = r.pos""")
 def embed_encode(spark, folder):
     vectors = snippets(spark, folder).select("snippet_id", encode(collapse_whitespace("code")).alias("e"))
-    return vectors.select("snippet_id", F.posexplode("e").alias("pos", "value")).select(
+    return vectors.select("snippet_id", F.posexplode_outer("e").alias("pos", "value")).select(
         "snippet_id", "pos", F.col("value").cast("double").alias("value")
     )
 

@@ -55,7 +55,7 @@ def clean_newlines(spark, folder):
 SELECT snippet_id, unnest(range(len(ls))) AS line_no, unnest(ls) AS line FROM ls""")
 def lines_exploded(spark, folder):
     lines = split_lines(normalise_newlines("code"))
-    return perturbed_snippets(spark, folder).select("snippet_id", F.posexplode(lines).alias("line_no", "line")).select(
+    return perturbed_snippets(spark, folder).select("snippet_id", F.posexplode_outer(lines).alias("line_no", "line")).select(
         "snippet_id", F.col("line_no").cast("bigint").alias("line_no"), "line"
     )
 

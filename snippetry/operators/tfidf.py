@@ -1,8 +1,12 @@
 """Character n-gram TF-IDF.
 
-Fitting: grams are exploded and counted in one stage with map-side combining; only the selected
-vocabulary (at most max_features rows) reaches the driver. Transforming is row-local: the vocabulary
-travels to the tasks inside a CountVectorizerModel, so a document's grams never shuffle.
+Corpus counts: every position yields one piece of up to the longest length; pieces are counted with
+map-side combining and only then cut into their prefixes, so a quarter of the n-grams is ever
+exploded. Only the selected vocabulary (at most max_features rows) reaches the driver.
+
+Vectors are row-local: the vocabulary travels to the tasks inside a CountVectorizerModel, so a
+document's n-grams never shuffle. Rows are exploded with the outer variants, which keep Spark from
+repeating the generator's input in an inferred filter.
 """
 
 from __future__ import annotations
@@ -18,19 +22,19 @@ from snippetry.operators.bounded import join_checked
 from snippetry.schemas import VOCABULARY
 from snippetry.session import stage
 
-# Start positions on the second half of a surrogate pair are no character starts.
-_AT_CHARACTER = r"(?s)(?![\x{DC00}-\x{DFFF}])"
 # Corpus counts up to here are binned exactly when the vocabulary threshold is looked for.
 _EXACT_COUNTS = 65_536
 
 
-def gram_pattern(n: int) -> str:
-    """Overlapping windows of n characters, captured from a zero-width look-ahead."""
-    return rf"{_AT_CHARACTER}(?=(.{{{n}}}))"
+def window_pattern(low: int, high: int | None = None) -> str:
+    """Overlapping windows, captured in a look-ahead while one character (never half a surrogate
+    pair) is consumed at a time. With ``high`` the window is as long as the text allows up to it."""
+    size = f"{low},{high}" if high else f"{low}"
+    return rf"(?s)(?=(.{{{size}}}))."
 
 
 def grams_of_length(text: Column | str, n: int) -> Column:
-    return F.regexp_extract_all(text, F.lit(gram_pattern(n)), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(window_pattern(n)), F.lit(1))
 
 
 def char_grams(text: Column | str, ngram_range: tuple[int, int] = (3, 6)) -> Column:
@@ -40,16 +44,25 @@ def char_grams(text: Column | str, ngram_range: tuple[int, int] = (3, 6)) -> Col
     return F.concat(*[grams_of_length(F.lower(text), n) for n in range(low, high + 1)])
 
 
+def _counted(df: DataFrame, keys: list[str], text: str, ngram_range: tuple[int, int], out: str) -> DataFrame:
+    low, high = ngram_range
+    windows = F.regexp_extract_all(F.lower(F.col(text)), F.lit(window_pattern(low, high)), F.lit(1))
+    pieces = df.select(*keys, F.explode_outer(windows).alias("_piece")).where(F.col("_piece").isNotNull())
+    counted = pieces.groupBy(*keys, "_piece").agg(F.count("*").alias("_n"))
+    size = F.length("_piece")
+    prefixes = F.array(*[F.when(size >= n, F.left("_piece", F.lit(n))) for n in range(low, high + 1)])
+    grams = counted.select(*keys, F.explode_outer(prefixes).alias("gram"), "_n").where(F.col("gram").isNotNull())
+    return grams.groupBy(*keys, "gram").agg(F.sum("_n").alias(out))
+
+
 def gram_counts(df: DataFrame, id_col: str, text: str, ngram_range: tuple[int, int] = (3, 6)) -> DataFrame:
-    """(id, gram, tf) in long form."""
-    exploded = df.select(id_col, F.explode(char_grams(text, ngram_range)).alias("gram"))
-    return exploded.groupBy(id_col, "gram").agg(F.count("*").alias("tf"))
+    """(id, gram, tf) in long form. Vectors do not need it; it shuffles every distinct pair."""
+    return _counted(df, [id_col], text, ngram_range, "tf")
 
 
 def corpus_counts(df: DataFrame, text: str, ngram_range: tuple[int, int] = (3, 6)) -> DataFrame:
     """(gram, cf): corpus term counts."""
-    grams = df.select(F.explode(char_grams(text, ngram_range)).alias("gram"))
-    return grams.groupBy("gram").agg(F.count("*").alias("cf"))
+    return _counted(df, [], text, ngram_range, "cf")
 
 
 def top_grams(counts: DataFrame, k: int) -> DataFrame:
@@ -72,35 +85,53 @@ def top_grams(counts: DataFrame, k: int) -> DataFrame:
     return binned.where(F.col("_bin") >= floor_bin).drop("_bin").orderBy(F.desc("cf"), "gram").limit(k)
 
 
-def with_document_counts(vocabulary: DataFrame, df: DataFrame, text: str, ngram_range: tuple[int, int]) -> DataFrame:
-    """Append df: documents holding each gram. The vocabulary is small, so the grams of each document
-    are filtered in place before they are counted."""
-    held = df.select(F.explode(F.array_distinct(char_grams(text, ngram_range))).alias("gram"))
-    return join_checked(held, vocabulary, "gram").groupBy("gram", "cf").agg(F.count("*").alias("df"))
-
-
 class CharTfidf:
     """Estimator settings; ``fit`` selects the vocabulary and smoothed idf on the given rows only."""
 
     def __init__(self, text: str = "code_clean", ngram_range: tuple[int, int] = (3, 6), max_features: int = 50_000):
         self.text, self.ngram_range, self.max_features = text, tuple(ngram_range), max_features
 
-    def fit(self, train: DataFrame) -> "CharTfidfModel":
-        n_docs = train.count()
-        counts = stage(corpus_counts(train, self.text, self.ngram_range), "gram-counts")
-        vocabulary = stage(top_grams(counts, self.max_features), "vocabulary")
-        rows = with_document_counts(vocabulary, train, self.text, self.ngram_range).collect()
-        rows = sorted((r["gram"], r["cf"], r["df"]) for r in rows)
+    def select(self, cleaned: DataFrame) -> list[tuple[str, int]]:
+        """(gram, cf) of the vocabulary in gram order."""
+        counts = stage(corpus_counts(cleaned, self.text, self.ngram_range), "gram-counts")
+        chosen = sorted((r["gram"], r["cf"]) for r in top_grams(counts, self.max_features).collect())
+        if not chosen:
+            raise ValueError("empty vocabulary: no training text is long enough for an n-gram")
+        return chosen
+
+    def fit_counted(self, train: DataFrame, head: list | None = None) -> tuple["CharTfidfModel", DataFrame]:
+        """The model, and the training rows with their counts ``_tf`` staged, so that fitting and
+        vectorising the training rows read the text twice in all. ``head`` stages run first, in the
+        same pass as the counting; selecting the vocabulary needs of them only the text column."""
+        prepared = PipelineModel(head or []).transform(train)
+        chosen = self.select(prepared.select(self.text))
+        counting = count_stages([gram for gram, _ in chosen], self.text, self.ngram_range)
+        rows = PipelineModel(counting).transform(prepared).drop("_grams").withMetadata("_tf", {})
+        rows = stage(rows, "gram-vectors")
+        n_docs = rows.count()
+        held = rows.select(F.explode_outer(F.unwrap_udt("_tf")["indices"]).alias("idx")).where(F.col("idx").isNotNull())
+        df = {r["idx"]: r["df"] for r in held.groupBy("idx").agg(F.count("*").alias("df")).collect()}
         table = [
-            (gram, idx, cf, df, math.log((1 + n_docs) / (1 + df)) + 1.0) for idx, (gram, cf, df) in enumerate(rows)
+            (gram, i, cf, df[i], math.log((1 + n_docs) / (1 + df[i])) + 1.0) for i, (gram, cf) in enumerate(chosen)
         ]
-        return CharTfidfModel(table, n_docs, self.text, self.ngram_range)
+        return CharTfidfModel(table, n_docs, self.text, self.ngram_range), rows
+
+    def fit(self, train: DataFrame) -> "CharTfidfModel":
+        return self.fit_counted(train.select(self.text))[0]
+
+
+def count_stages(grams: list[str], text: str, ngram_range: tuple[int, int]) -> list:
+    """Persistable stages: n-grams, then their counts over the vocabulary."""
+    low, high = ngram_range
+    pieces = ", ".join(f"regexp_extract_all(lower(`{text}`), r'{window_pattern(n)}', 1)" for n in range(low, high + 1))
+    return [
+        SQLTransformer(statement=f"SELECT *, concat({pieces}) AS _grams FROM __THIS__"),
+        CountVectorizerModel.from_vocabulary(grams, inputCol="_grams", outputCol="_tf"),
+    ]
 
 
 class CharTfidfModel:
     def __init__(self, table: list[tuple], n_docs: int, text: str, ngram_range: tuple[int, int]):
-        if not table:
-            raise ValueError("empty vocabulary: no training text is long enough for an n-gram")
         self.table, self.n_docs, self.text, self.ngram_range = table, n_docs, text, tuple(ngram_range)
 
     def vocabulary(self, spark) -> DataFrame:
@@ -113,35 +144,36 @@ class CharTfidfModel:
         rows = sorted(tuple(r) for r in vocabulary.select(*VOCABULARY.fieldNames()).collect())
         return CharTfidfModel(rows, n_docs, text, ngram_range)
 
-    def stages(self, out: str = "tfidf") -> list:
-        """Persistable stages: n-grams, counts over the vocabulary, idf weights, L2 norm."""
-        low, high = self.ngram_range
-        pieces = ", ".join(
-            f"regexp_extract_all(lower(`{self.text}`), r'{gram_pattern(n)}', 1)" for n in range(low, high + 1)
-        )
+    def count_stages(self) -> list:
+        return count_stages([row[0] for row in self.table], self.text, self.ngram_range)
+
+    def weight_stages(self, out: str = "tfidf") -> list:
+        """Persistable stages from counts: idf weights, L2 norm."""
         idf = Vectors.dense([row[4] for row in self.table])
         return [
-            SQLTransformer(statement=f"SELECT *, concat({pieces}) AS _grams FROM __THIS__"),
-            CountVectorizerModel.from_vocabulary([r[0] for r in self.table], inputCol="_grams", outputCol="_tf"),
             ElementwiseProduct(scalingVec=idf, inputCol="_tf", outputCol="_tfidf_raw"),
             Normalizer(p=2.0, inputCol="_tfidf_raw", outputCol=out),
         ]
 
+    def stages(self, out: str = "tfidf") -> list:
+        return [*self.count_stages(), *self.weight_stages(out)]
+
     def transform(self, df: DataFrame, out: str = "tfidf") -> DataFrame:
         """Append the normalised sparse vector; grams outside the vocabulary are ignored and a row
         without any known gram keeps an empty vector."""
         return PipelineModel(self.stages(out)).transform(df).drop("_grams", "_tf", "_tfidf_raw")
 
     def weights(self, df: DataFrame, id_col: str, extra: list[str] | None = None) -> DataFrame:
-        """(id, gram, tf, weight) in long form, exploded from the row's own vectors."""
+        """(id, gram, tf, weight) in long form, from text or from rows already counted."""
         cols = [id_col, *(extra or [])]
-        full = PipelineModel(self.stages("tfidf")).transform(df.select(*cols, self.text))
+        counted = df if "_tf" in df.columns else PipelineModel(self.count_stages()).transform(df.select(*cols, self.text))
+        full = PipelineModel(self.weight_stages("tfidf")).transform(counted)
         # The struct below a sparse vector: indices and values side by side.
         parts = full.select(*cols, F.unwrap_udt("_tf").alias("c"), F.unwrap_udt("tfidf").alias("w"))
         pairs = parts.select(
-            *cols, F.inline(F.arrays_zip(
+            *cols, F.inline_outer(F.arrays_zip(
                 F.col("c.indices").alias("idx"), F.col("c.values").alias("tf"), F.col("w.values").alias("weight")
             ))
-        )
+        ).where(F.col("idx").isNotNull())
         names = self.vocabulary(df.sparkSession).select("idx", "gram")
         return join_checked(pairs, names, "idx").select(*cols, "gram", F.col("tf").cast("bigint").alias("tf"), "weight")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
 from snippetry.functions.text import collapse_whitespace
@@ -28,8 +29,11 @@ def build_tfidf(corpus: DataFrame, code: str = "code", ngram_range: tuple[int, i
     """Vocabulary and idf from the training rows, vectors (snippet_id, split, label, tfidf) for all."""
     require_columns(corpus, code, "label", "split")
     cleaned = corpus.select("snippet_id", "split", "label", collapse_whitespace(code).alias("code_clean"))
-    model = CharTfidf("code_clean", ngram_range, max_features).fit(cleaned.where("split = 'train'"))
-    return model, model.transform(cleaned).drop("code_clean")
+    model, train = CharTfidf("code_clean", ngram_range, max_features).fit_counted(cleaned.where("split = 'train'"))
+    rest = PipelineModel(model.count_stages()).transform(cleaned.where("split <> 'train'")).drop("_grams")
+    rows = train.unionByName(rest.withMetadata("_tf", {}))
+    vectors = PipelineModel(model.weight_stages("tfidf")).transform(rows)
+    return model, vectors.select("snippet_id", "split", "label", "tfidf")
 
 
 def build_embeddings(corpus: DataFrame, code: str = "code", make_predict_fn=None, batch_size: int = 32) -> DataFrame:

@@ -1,7 +1,7 @@
 """Training jobs of the four model families.
 
-Engineered features and cleaned text are computed once per training run and staged; scaler,
-vocabulary and learner read the columns they need from there. The result is one pipeline from raw
+Engineered features and n-gram counts or embeddings of the training rows are computed once and
+staged; scaler, idf and learner read what they need from there. The result is one pipeline from raw
 text to probability.
 """
 
@@ -78,8 +78,8 @@ class Trained:
 
 @dataclass
 class FittedFeatures:
-    """``head`` turns raw rows into cleaned text, dense features and (for that family) embeddings;
-    ``tail`` scales, vectorises and stacks them into ``features``."""
+    """``head`` turns raw rows into dense features plus n-gram counts or embeddings, ``tail`` weighs,
+    scales and stacks them into ``features``; ``prepared`` holds the training rows between the two."""
 
     head: list
     tail: list
@@ -117,16 +117,17 @@ def fit_features(train: DataFrame, text: str = "tfidf", dense: list[str] = FEATU
         head.append(TextEncoder(encoder=encoder))
     if dense:
         head.append(CodeFeatures(clean=clean))
-    wanted = ["snippet_id", "label"]
-    wanted += {"tfidf": ["code_clean"], "embedding": ["embedding"], "stored": ["embedding"]}[text]
-    wanted += dense
-    prepared = stage(PipelineModel(head).transform(train).select(*wanted), "training-features")
+    wanted = ["snippet_id", "label", *dense]
     tfidf = scaler = None
     if text == "tfidf":
-        tfidf = CharTfidf("code_clean", ngram_range, max_features).fit(prepared.select("code_clean"))
-        tail += tfidf.stages("tfidf")
+        narrow = SQLTransformer(statement=f"SELECT {', '.join([*wanted, 'code_clean'])} FROM __THIS__")
+        tfidf, counted = CharTfidf("code_clean", ngram_range, max_features).fit_counted(train, [*head, narrow])
+        prepared = counted.drop("code_clean")
+        head += tfidf.count_stages()
+        tail += tfidf.weight_stages("tfidf")
         parts.append("tfidf")
     else:
+        prepared = stage(PipelineModel(head).transform(train).select(*wanted, "embedding"), "training-features")
         width = embedding_dim(prepared)
         tail += [ArrayVector(), VectorSizeHint(inputCol="embedding_vec", size=width, handleInvalid="error")]
         parts.append("embedding_vec")
