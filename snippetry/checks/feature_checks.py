@@ -20,6 +20,7 @@ from snippetry.operators.syntax_facts import with_syntax_facts
 from snippetry.operators.tfidf import CharTfidf, char_grams, corpus_counts, gram_counts, grams_of_length, top_grams
 from snippetry.plans.jobs import build_code_features as code_features_job
 from snippetry.plans.training import fit_features
+from snippetry.sources.corpus import spread
 from snippetry.sources.tables import labelled_snippets, snippets, table, template_snippets
 
 LINE_FEATURES = [*LINE_STATS, *INDENT_STATS]
@@ -177,7 +178,7 @@ SELECT spoken.k, coalesce(n_known, 0) AS n_known, coalesce(total, 0) AS total, c
 FROM spoken LEFT JOIN sums ON spoken.k = sums.k""")
 def tfidf_transform_unseen(spark, folder):
     model = _fitted(spark, folder, VOCABULARY_SIZE)
-    spoken = table(spark, folder, "conversations").select(
+    spoken = spread(table(spark, folder, "conversations"), "conv_id").select(
         F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("k"),
         collapse_whitespace("text").alias("code_clean"),
     )
