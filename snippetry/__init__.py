@@ -1 +1,8 @@
 """snippetry: snippet analytics and classification on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to Python workers by value, so executors need no installed copy.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

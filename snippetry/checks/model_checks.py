@@ -19,7 +19,7 @@ from snippetry.session import staging_path, stage
 from snippetry.sources.tables import HUMAN, labelled_snippets, labels, snippets, table
 from snippetry.streaming.score_stream import snippet_stream, start_scoring
 
-# Settings of the registered training queries: the jobs' defaults are the reference values, these
+# Settings of the registered training queries: the jobs' defaults are the full settings, these
 # only bound the running time of a check on a small machine.
 SMALL = {"max_features": 300}
 GBT = {"rounds": 4, "patience": 2, "depth": 3}
