@@ -65,7 +65,8 @@ def test_unparseable_rows_are_kept(spark, code):
     df = spark.createDataFrame([(1, code)], "snippet_id long, code string")
     facts = with_syntax_facts(df).first()["facts"]
     assert not facts["parse_ok"] and facts["names"] == [] and facts["max_depth"] == 0
-    assert all(with_code_features(df).first()[f] == 0 for f in FEATURES[9:])
+    row = with_code_features(df).first()
+    assert all(row[f] == 0 for f in FEATURES[9:])
 
 
 def test_deep_expression_gives_depth():
