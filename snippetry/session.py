@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,23 +28,36 @@ def build_session(app_name: str = "snippetry", master: str | None = None, **conf
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder. Only a local session may fall back to a temporary one."""
+    """The shared folder named in spark.checkpoint.dir; where that is unset, one in the warehouse, which
+    all executors share as well."""
     sc = spark.sparkContext
     root = sc.getCheckpointDir()
     if root is None:
         root = spark.conf.get("spark.checkpoint.dir", None)
-        if root is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            root = tempfile.mkdtemp(prefix="snippetry-checkpoint-")
-        sc.setCheckpointDir(root)
+        sc.setCheckpointDir(root or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
         root = sc.getCheckpointDir()
     return root
 
 
+def stage_root(spark: SparkSession) -> str:
+    """Where this application's staged tables lie."""
+    return f"{checkpoint_root(spark)}/stages-{spark.sparkContext.applicationId}"
+
+
 def staging_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for a written table."""
-    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a staged table, wherever Spark can write."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Remove this application's staged tables. Call it when the results that read them are written."""
+    drop_path(spark, stage_root(spark))
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
