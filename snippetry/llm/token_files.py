@@ -15,6 +15,7 @@ rows are written repeatedly. An empty table gives an empty index. Extra columns
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -34,12 +35,15 @@ from snippetry.session import staging_path
 # Fixed values of the zstandard seekable format.
 SKIPPABLE, SEEKABLE, HAS_CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 _NO_ID = -(1 << 63)
-_CACHED = 400_000
+_CACHED = 300_000
+_STOPS = re.compile(rb"(?<=[a-z])[.,](?=[ \n])")
 
 
 class Encoder:
-    """Token ids of a text as little-endian bytes. With ``by_words`` a text is cut at ASCII blanks and each piece's ids are
-    remembered; that equals encoding whole texts for tokenizers that drop blanks and match nothing across them."""
+    """Token ids of a text as little-endian bytes. With ``by_words`` a text is cut at ASCII blanks, and between an ASCII letter and a
+    stop or comma that ends a word, after A-Z are brought to lower case, and each piece's ids are remembered. That
+    equals encoding whole texts for tokenizers that lower-case, drop blanks and match nothing across them, nor across a
+    letter and a stop. Words are remembered in two generations, so common ones stay when memory is given back."""
 
     def __init__(self, path: str, width: int, by_words: bool):
         from tokenizers import Tokenizer
@@ -48,22 +52,40 @@ class Encoder:
         self.kind = f"<u{width}"
         self.by_words = by_words
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
-    def _fresh(self, texts: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
-        return [np.array(e.ids, dtype=self.kind).tobytes() for e in found]
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind)
+
+    def _fresh(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word. They are encoded as one text; where a token begins tells its word."""
+        texts = [w.decode() for w in words]
+        found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        ids = np.array(found.ids, dtype=self.kind).tobytes()
+        begins = np.fromiter((a for a, _ in found.offsets), np.int64)
+        starts = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        ends = np.searchsorted(begins, starts).astype(np.int64) * int(self.kind[2:])
+        return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
     def __call__(self, text: bytes) -> bytes:
-        if not self.by_words:
-            return self._fresh([text])[0]
-        pieces = text.split()
-        missing = list(set(pieces) - self.known.keys())
+        # The strings of special tokens are matched as they are written.
+        if not self.by_words or b"<|" in text:
+            return self._whole(text.decode()).tobytes()
+        pieces = _STOPS.sub(rb" \g<0>", text.lower()).split()
+        known, older = self.known, self.older
+        missing = []
+        for piece in set(pieces):
+            if piece not in known:
+                if piece in older:
+                    known[piece] = older[piece]
+                else:
+                    missing.append(piece)
         if missing:
-            if len(self.known) > _CACHED:
-                self.known.clear()
-                missing = list(set(pieces))
-            self.known.update(zip(missing, self._fresh(missing)))
-        return b"".join(map(self.known.__getitem__, pieces))
+            known.update(zip(missing, self._fresh(missing)))
+        out = b"".join(map(known.__getitem__, pieces))
+        if len(known) > _CACHED:
+            self.known, self.older = {}, known
+        return out
 
 
 class FrameWriter:
