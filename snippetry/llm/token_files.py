@@ -15,8 +15,10 @@ rows are written repeatedly. An empty table gives an empty index. Extra columns
 
 from __future__ import annotations
 
-import re
+import array
 import struct
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,56 +37,71 @@ from snippetry.session import staging_path
 # Fixed values of the zstandard seekable format.
 SKIPPABLE, SEEKABLE, HAS_CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 _NO_ID = -(1 << 63)
-_CACHED = 300_000
-_STOPS = re.compile(rb"(?<=[a-z])[.,](?=[ \n])")
+_CACHED = 500_000
 
 
 class Encoder:
-    """Token ids of a text as little-endian bytes. With ``by_words`` a text is cut at ASCII blanks, and between an ASCII letter and a
-    stop or comma that ends a word, after A-Z are brought to lower case, and each piece's ids are remembered. That
-    equals encoding whole texts for tokenizers that lower-case, drop blanks and match nothing across them, nor across a
-    letter and a stop. Words are remembered in two generations, so common ones stay when memory is given back."""
+    """Token ids of a text as little-endian bytes. With ``by_words`` a text is cut at ASCII blanks after A-Z are brought to lower
+    case, each piece goes through the tokenizer's normaliser, splitter and model, and its ids are remembered. That equals encoding
+    whole texts for tokenizers that lower-case, drop blanks and match nothing across them, and whose splitter keeps ASCII
+    letters together and cuts a stop or comma off. Words are remembered in two generations, so common ones stay when memory
+    is given back."""
 
     def __init__(self, path: str, width: int, by_words: bool):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = f"<u{width}"
+        self.model, self.normalise, self.split = self.tokenizer.model.tokenize, None, None
+        self.kind, self.code = f"<u{width}", {2: "H", 4: "I"}[width]
         self.by_words = by_words
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
-
-    def _whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind)
-
-    def _fresh(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word. They are encoded as one text; where a token begins tells its word."""
-        texts = [w.decode() for w in words]
-        found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-        ids = np.array(found.ids, dtype=self.kind).tobytes()
-        begins = np.fromiter((a for a, _ in found.offsets), np.int64)
-        starts = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
-        ends = np.searchsorted(begins, starts).astype(np.int64) * int(self.kind[2:])
-        return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
-
-    def __call__(self, text: bytes) -> bytes:
-        # The strings of special tokens are matched as they are written.
-        if not self.by_words or b"<|" in text:
-            return self._whole(text.decode()).tobytes()
-        pieces = _STOPS.sub(rb" \g<0>", text.lower()).split()
+        if by_words:
+            self.normalise, self.split = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
+            self.stops = {t: self._piece(t) for t in (b".", b",")}
+
+    @classmethod
+    def of_worker(cls, path: str, width: int, by_words: bool) -> Encoder:
+        """The worker process's own encoder, which keeps its words from task to task."""
+        shared = sys.modules.setdefault("snippetry_worker_state", types.ModuleType("snippetry_worker_state"))
+        name = f"{path}:{width}:{by_words}"
+        if not hasattr(shared, name):
+            setattr(shared, name, cls(path, width, by_words))
+        return getattr(shared, name)
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+
+    def _piece(self, piece: bytes) -> bytes:
+        """Ids of a text without blanks. ASCII letters are one word to the model as they are."""
+        parts = [piece.decode()] if piece.isalpha() else [p for p, _ in self.split(self.normalise(piece.decode()))]
+        ids = array.array(self.code, [t.id for p in parts for t in self.model(p)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
+    def _learn(self, missing: set[bytes]) -> None:
         known, older = self.known, self.older
-        missing = []
-        for piece in set(pieces):
-            if piece not in known:
-                if piece in older:
-                    known[piece] = older[piece]
-                else:
-                    missing.append(piece)
+        for piece in missing:
+            if piece in older:
+                known[piece] = older[piece]
+            elif piece[-1:] in self.stops and piece[-2:-1].isalpha():
+                word = piece[:-1]
+                known[piece] = (known.get(word) or older.get(word) or self._piece(word)) + self.stops[piece[-1:]]
+            else:
+                known[piece] = self._piece(piece)
+
+    def many(self, texts: list[bytes]) -> list[bytes]:
+        # The strings of special tokens are matched as they are written.
+        if not self.by_words or any(b"<|" in t for t in texts):
+            return [self.whole(t.decode()) if not self.by_words or b"<|" in t else self.many([t])[0] for t in texts]
+        pieces = [t.lower().split() for t in texts]
+        missing = set().union(*pieces).difference(self.known)
         if missing:
-            known.update(zip(missing, self._fresh(missing)))
-        out = b"".join(map(known.__getitem__, pieces))
-        if len(known) > _CACHED:
-            self.known, self.older = {}, known
+            self._learn(missing)
+        out = [b"".join(map(self.known.__getitem__, p)) for p in pieces]
+        if len(self.known) > _CACHED:
+            self.known, self.older = {}, self.known
         return out
 
 
@@ -179,7 +196,7 @@ def write(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         shard, name = task.partitionId(), f"shard-{task.partitionId():06d}-{task.taskAttemptId()}.zst"
-        encode, end = Encoder(tokenizer, width, by_words), end_id.to_bytes(width, "little")
+        encoder, end = Encoder.of_worker(tokenizer, width, by_words), end_id.to_bytes(width, "little")
         writer, slot = None, 0
         ids, tokens, held = [], [], 0
 
@@ -197,16 +214,17 @@ def write(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int
             return pa.RecordBatch.from_arrays(columns, ["doc_id", "file", "shard", "slot", "frame", "place", "n_tokens"])
 
         for batch in batches:
-            for doc, value in zip(batch.column("doc_id").to_pylist(), raw(batch, "text")):
+            for few in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
                 if writer is None:
                     store, folder = fs.FileSystem.from_uri(path)
                     store.create_dir(folder, recursive=True)
                     writer = FrameWriter(store.open_output_stream(f"{folder}/{name}", compression=None))
-                ids.append(doc)
-                tokens.append(encode(value) + end)
-                held += len(tokens[-1])
-                if held >= frame_bytes:
-                    yield close_frame()
+                for doc, encoded in zip(few.column("doc_id").to_pylist(), encoder.many(list(raw(few, "text")))):
+                    ids.append(doc)
+                    tokens.append(encoded + end)
+                    held += len(tokens[-1])
+                    if held >= frame_bytes:
+                        yield close_frame()
         if ids:
             yield close_frame()
         if writer is not None:
