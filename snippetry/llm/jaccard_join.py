@@ -212,8 +212,9 @@ def links(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int, leaf: i
     hashes = stage(_hashes_of(docs, wanted.select("node", "doc_id", "text_hash"), shingle), "candidate-sets")
     first = stage(_verified(pairs, hashes, wanted, percent), "pivot-links")
     roots = connected(first)
-    # Blocks that hold several components yet; of blocks with the same members one is enough.
-    placed = members.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # The pivot has been compared with all. Blocks whose other members are of several components yet are left; of blocks with the
+    # same members one is enough.
+    placed = members.where("node <> pivot").select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     state = placed.groupBy("key").agg(
         F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum")
     )

@@ -112,7 +112,7 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, per
         sized = sized.withColumn("source", F.col(source))
     small = stage(sized.select("source", "size", "key", F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).alias("draw")), "mix-sizes")
     goal = stage(targets(small, weights, percent, cap), "mix-targets")
-    means = stage(small.groupBy("source").agg((F.sum(F.col("size") * weight) / F.sum("size")).alias("_mean")), "mix-means")
+    means = stage(small.groupBy("source").agg(F.try_divide(F.sum(F.col("size") * weight), F.sum("size")).alias("_mean")), "mix-means")
     plan = goal.join(means.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
     cut = stage(_cut(_with_rank(_with_source(small, plan), weight)), "mix-last")
     plan = stage(_with_source(plan, cut), "mix-plan")
@@ -128,7 +128,7 @@ def _with_rank(joined: DataFrame, weight: Column) -> DataFrame:
     """Adds certain copies and the Pareto rank as a number in [0, 1), null for documents that can't be sampled."""
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     u = (F.shiftrightunsigned("draw", 11).cast("double") + 0.5) / float(1 << 53)
-    p = F.least((ratio - F.floor(ratio)) * weight / F.col("_mean"), F.lit(1 - 1e-9))
+    p = F.least(F.try_divide((ratio - F.floor(ratio)) * weight, F.col("_mean")), F.lit(1 - 1e-9))
     odds = (u / (1 - u)) / (p / (1 - p))
     joined = joined.withColumn("certain", F.floor(ratio))
     return joined.withColumn("rank", F.when((ratio > F.floor(ratio)) & (F.col("size") > 0) & (p > 0), odds / (1 + odds)))
