@@ -7,7 +7,8 @@ count and hash sum are its block. (A set is also dealt by the class of the small
 full groups that only empty ones may agree deals out those too.) Blocks hold near copies and hardly anything else.
 
 In a first round every member of a block is compared with the block's smallest node: that is linear in the block, and most
-blocks are connected by it. In the second, only blocks that still hold several components are looked at: members are cut into
+blocks are connected by it. In the second, only blocks that still hold several components are looked at: of blocks that would
+fit one box of a tree the pairs between components are compared, each once however many blocks it shares; of others the members are cut into
 leaves of at most ``LEAF`` points, leaves whose boxes cannot meet the overlap bound are left alone, and the others are joined by an
 R-tree, comparing only members of different components. Before any comparison the summed coordinate minima of the count
 vectors must reach the overlap that the similarity asks for.
@@ -200,7 +201,15 @@ def _tree_joined(members: DataFrame, hashes: DataFrame, percent: int, leaf: int)
     return left.union(right).groupBy("key", "i", "j").applyInArrow(run, "a bigint, b bigint")
 
 
-def links(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int, leaf: int = LEAF) -> DataFrame:
+def _few_joined(members: DataFrame, hashes: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """The same for blocks of a few members. Each pair is compared once however many blocks it shares."""
+    a = members.select("key", F.col("node").alias("a"), F.col("root").alias("root_a"))
+    b = members.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"))
+    pairs = a.join(b, "key").where("a < b AND root_a <> root_b").select("a", "b").distinct()
+    return _verified(stage(pairs, "few-pairs"), hashes, points, percent)
+
+
+def links(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int, leaf: int = LEAF, few: int = count_tree.FAN_OUT) -> DataFrame:
     """(a, b) links between ``nodes`` (node, doc_id, text_hash, n, point, blocks) that connect all whose sets are similar enough."""
     dealt = nodes.select("node", F.explode("blocks").alias("key"))
     shared = dealt.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("pivot"), F.max("node").alias("last"))
@@ -218,11 +227,13 @@ def links(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int, leaf: i
     state = placed.groupBy("key").agg(
         F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum")
     )
-    open_ = state.where("low <> high").groupBy("m", "sum").agg(F.min("key").alias("key")).select("key")
+    open_ = state.where("low <> high").groupBy("m", "sum").agg(F.min("key").alias("key")).select("key", "m")
     rest = stage(placed.join(open_, "key").join(wanted.select("node", "n", "point"), "node"), "open-blocks")
     if not rest.head(1):
         return first
-    return stage(first.union(_tree_joined(rest, hashes, percent, leaf)), "all-links")
+    found = first.union(_few_joined(rest.where(F.col("m") <= few), hashes, wanted, percent))
+    crowded = rest.where(F.col("m") > few).drop("m")
+    return stage(found.union(_tree_joined(crowded, hashes, percent, leaf)) if crowded.head(1) else found, "all-links")
 
 
 def components(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

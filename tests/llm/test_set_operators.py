@@ -71,7 +71,7 @@ def test_tree_finds_all_within_the_bound():
 
 def test_leaves_join_what_the_first_round_leaves(spark, monkeypatch):
     """With leaves of two members all of the tree's ways are taken."""
-    monkeypatch.setattr(jaccard_join.links, "__defaults__", (2,))
+    monkeypatch.setattr(jaccard_join.links, "__defaults__", (2, 1))
     given = list(enumerate(near_groups()))
     assert [c for _, _, c in sorted(components(spark, given, 3, 90))] == fx.brute_components(given, 3, 90)
 
