@@ -121,7 +121,7 @@ def test_mix_meets_its_targets(spark):
     given = [(i, fx.text(i, 1 + i % 90), None, f"s{i % 7}" if i % 3 else "big", 0) for i in range(3000)] + [(None, "a b", None, None, 0), (None, None, None, None, 0), (5, "", None, "s1", 0)]
     docs = spark.createDataFrame(given, "doc_id bigint, text string, lang string, source string, size bigint")
     got = mixing.mix(docs).collect()
-    assert len(got) == len(given) and got == mixing.mix(docs.repartition(3)).collect() or True
+    assert len(got) == len(given)
     sizes, taken, target = {}, {}, {}
     for r in got:
         assert r["size"] == len(fx.WORD.findall(r["text"] or "")) and 0 <= r["taken"] <= 2 * r["size"] and r["taken"] % max(r["size"], 1) == 0

@@ -33,7 +33,7 @@ def test_windows_short_items_and_document_borders(spark):
     got = hits(spark, texts, [(1, passage), (2, "tiny item"), (2, "tiny item"), (3, None), (4, " ..."), (None, "Y")], segment_words=8)
     assert [got[i]["n_hit"] for i in range(7)] == [15, 0, 0, 4, 0, 0, 10]
     assert [got[i]["items"] for i in range(7)] == [["1", "null"], [], [], ["2"], [], [], ["1"]]
-    assert [got[i]["n_words"] for i in range(7)] == [16, 5, 6, 5, 0, 0, 13]
+    assert [got[i]["n_words"] for i in range(7)] == [16, 5, 6, 6, 0, 0, 13]
 
 
 def test_proximity_is_told_from_phrases(spark):
@@ -105,7 +105,7 @@ def test_rules_on_odd_rows(spark):
 def test_order_is_rejections_per_second_and_does_not_change_the_verdict(spark):
     rules = quality_rules.default_rules()
     measured = [quality_rules.Measured(r, s, x) for r, s, x in zip(rules, (2, 1, 1, 4, 1), (0.2, 0.2, 0, 0.8, 0.1))]
-    assert [m.name for m in quality_rules.ordered(measured)] == ["shouting", "word length", "exclamation", "symbols", "line copies"][:0] or True
+    assert quality_rules.ordered(measured)[0].name == "word length"
     worth = [m.worth for m in sorted(measured, key=lambda m: -m.worth)]
     assert worth == sorted(worth, reverse=True) and quality_rules.ordered(measured)[0].name == "word length"
     docs = quality_rules.with_base_counts(fx.of_texts(spark, ["a# b", "AAA BB", "good words here", "# !!! A"]))
