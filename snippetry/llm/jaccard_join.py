@@ -8,7 +8,9 @@ full groups that only empty ones may agree deals out those too.) Blocks hold nea
 
 In a first round every member of a block is compared with the block's smallest node: that is linear in the block, and most
 blocks are connected by it. In the second, only blocks that still hold several components are looked at: of blocks that would
-fit one box of a tree the pairs between components are compared, each once however many blocks it shares; of others the members are cut into
+fit one box of a tree the pairs between components are compared, each once however many blocks it shares, and only if it shares as
+many as linked sets of its sizes must (each differing shingle changes one group; a pair left by the first round has all its blocks
+here); of others the members are cut into
 leaves of at most ``LEAF`` points, leaves whose boxes cannot meet the overlap bound are left alone, and the others are joined by an
 R-tree, comparing only members of different components. Before any comparison the summed coordinate minima of the count
 vectors must reach the overlap that the similarity asks for.
@@ -34,7 +36,7 @@ from snippetry.llm.graph import connected
 from snippetry.session import stage
 
 LEAF = 256
-_SETS = "doc_id bigint, text_hash bigint, n bigint, digest binary, point binary, blocks array<bigint>"
+_SETS = "doc_id bigint, text_hash bigint, n bigint, digest binary, point binary, blocks array<bigint>, undealt bigint"
 
 
 def word_hashes(texts: list[list[bytes]]) -> list[np.ndarray]:
@@ -78,16 +80,27 @@ class Blocks:
         b = 100 * a // self.percent
         return (a + b) * (100 - self.percent) // (100 + self.percent)
 
-    def of(self, hashes: np.ndarray) -> np.ndarray:
+    def groups(self, k: int) -> int:
+        d = self.differing(k)
+        return d + d // 5 + 2
+
+    def least_shared(self, a: np.ndarray, b: np.ndarray, undealt: np.ndarray) -> np.ndarray:
+        """Fewest blocks that linked sets of a and b shingles share if one of them left out ``undealt`` empty groups."""
+        k = np.searchsorted(self.starts, np.minimum(a, b), side="right") - 1
+        groups = np.array([self.groups(i) for i in range(int(k.max(initial=0)) + 1)], dtype=np.int64)
+        return groups[k] - (a + b - 2 * count_tree.needed(a, b, self.percent)) - undealt
+
+    def of(self, hashes: np.ndarray) -> tuple[np.ndarray, int]:
+        """The blocks of a set, and how many empty groups it left out of the class where these are most."""
         n = len(hashes)
         if n < self.smallest:
-            return np.zeros(0, np.uint64)
+            return np.zeros(0, np.uint64), 0
         least = max(-(-self.percent * n // 100), self.smallest)
         sums = mixed(hashes + np.uint64(0x51ED270B))
-        out = []
+        out, undealt = [], 0
         for k in range(self._class(least), self._class(n) + 1):
             d = self.differing(k)
-            m = d + d // 5 + 2
+            m = self.groups(k)
             group = ((hashes >> np.uint64(16)) % np.uint64(m)).astype(np.int64)
             counts = np.bincount(group, minlength=m).astype(np.uint64)
             total = np.zeros(m, np.uint64)
@@ -95,7 +108,8 @@ class Blocks:
             keys = mixed(mixed(total + counts) + np.arange(m, dtype=np.uint64) + np.uint64(k << 40))
             full = counts > 0
             out.append(keys if int(full.sum()) <= d else keys[full])
-        return np.concatenate(out)
+            undealt = max(undealt, m - len(out[-1]))
+        return np.concatenate(out), undealt
 
 
 def sets(docs: DataFrame, shingle: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -108,13 +122,14 @@ def sets(docs: DataFrame, shingle: int, percent: int, doc_id: str = "doc_id", te
                 rows = []
                 for words in word_hashes([blank_words(t) for t in raw(piece, "text")]):
                     own = shingle_set(words, shingle)
+                    dealt, undealt = blocks.of(own)
                     rows.append((
-                        len(own), xxhash.xxh3_128_digest(own.tobytes()), count_tree.point(own).astype("<u4").tobytes(), blocks.of(own).view(np.int64),
+                        len(own), xxhash.xxh3_128_digest(own.tobytes()), count_tree.point(own).astype("<u4").tobytes(), dealt.view(np.int64), undealt,
                     ))
-                kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+                kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int64()]
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), piece.column("text_hash"), *columns], ["doc_id", "text_hash", "n", "digest", "point", "blocks"]
+                    [piece.column("doc_id"), piece.column("text_hash"), *columns], ["doc_id", "text_hash", "n", "digest", "point", "blocks", "undealt"]
                 )
 
     source = docs.select(*text_key(doc_id, text), F.col(text).alias("text")).withColumn("doc_id", F.col("doc_id").cast("bigint"))
@@ -135,12 +150,18 @@ def _hashes_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, hashes: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are linked. Pairs that the points rule out never meet their sets."""
+    """The pairs (a, b) that are linked. Pairs that the points or (where the pairs have it) the number of shared blocks rule out
+    never meet their sets."""
+    counted = "shared" in pairs.columns
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = Blocks(percent)
         for batch in batches:
             p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(batch.num_rows, -1).astype(np.int64) for c in ("pa", "pb"))
             keep = np.minimum(p, q).sum(axis=1) >= count_tree.needed(p.sum(axis=1), q.sum(axis=1), percent)
+            if counted:
+                undealt = np.maximum(*(np.asarray(batch.column(c)) for c in ("ua", "ub")))
+                keep &= np.asarray(batch.column("shared")) >= blocks.least_shared(p.sum(axis=1), q.sum(axis=1), undealt)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,12 +170,12 @@ def _verified(pairs: DataFrame, hashes: DataFrame, points: DataFrame, percent: i
             keep = [count_tree.similar(x, y, percent) for x, y in zip(*sides)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    def both(df: DataFrame, table: DataFrame, value: str) -> DataFrame:
+    def both(df: DataFrame, table: DataFrame, *values: str) -> DataFrame:
         for side in ("a", "b"):
-            df = df.join(table.select(F.col("node").alias(side), F.col(value).alias(value[0] + side)), side)
+            df = df.join(table.select(F.col("node").alias(side), *[F.col(v).alias(v[0] + side) for v in values]), side)
         return df
 
-    kept = both(pairs, points, "point").mapInArrow(possible, "a bigint, b bigint")
+    kept = both(pairs, points, "point", "undealt").mapInArrow(possible, "a bigint, b bigint")
     return both(kept, hashes, "hashes").mapInArrow(linked, "a bigint, b bigint")
 
 
@@ -202,22 +223,23 @@ def _tree_joined(members: DataFrame, hashes: DataFrame, percent: int, leaf: int)
 
 
 def _few_joined(members: DataFrame, hashes: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """The same for blocks of a few members. Each pair is compared once however many blocks it shares."""
-    a = members.select("key", F.col("node").alias("a"), F.col("root").alias("root_a"))
+    """The same for blocks of a few members, which stand for ``like`` blocks of the same members each. Each pair is compared once
+    if its blocks suffice. (Pairs that share a larger block too are compared there.)"""
+    a = members.select("key", "like", F.col("node").alias("a"), F.col("root").alias("root_a"))
     b = members.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"))
-    pairs = a.join(b, "key").where("a < b AND root_a <> root_b").select("a", "b").distinct()
+    pairs = a.join(b, "key").where("a < b AND root_a <> root_b").groupBy("a", "b").agg(F.sum("like").alias("shared"))
     return _verified(stage(pairs, "few-pairs"), hashes, points, percent)
 
 
 def links(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int, leaf: int = LEAF, few: int = count_tree.FAN_OUT) -> DataFrame:
-    """(a, b) links between ``nodes`` (node, doc_id, text_hash, n, point, blocks) that connect all whose sets are similar enough."""
+    """(a, b) links between ``nodes`` (node, doc_id, text_hash, n, point, blocks, undealt) that connect all whose sets are similar enough."""
     dealt = nodes.select("node", F.explode("blocks").alias("key"))
     shared = dealt.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("pivot"), F.max("node").alias("last"))
     shared = shared.where("members > 1")
     members = stage(dealt.join(shared.select("key", "pivot", "members"), "key"), "block-members")
     pairs = stage(members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pivot-pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = stage(nodes.join(wanted, "node").select("node", "doc_id", "text_hash", "n", "point"), "candidates")
+    wanted = stage(nodes.join(wanted, "node").select("node", "doc_id", "text_hash", "n", "point", "undealt"), "candidates")
     hashes = stage(_hashes_of(docs, wanted.select("node", "doc_id", "text_hash"), shingle), "candidate-sets")
     first = stage(_verified(pairs, hashes, wanted, percent), "pivot-links")
     roots = connected(first)
@@ -227,12 +249,12 @@ def links(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int, leaf: i
     state = placed.groupBy("key").agg(
         F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum")
     )
-    open_ = state.where("low <> high").groupBy("m", "sum").agg(F.min("key").alias("key")).select("key", "m")
+    open_ = state.where("low <> high").groupBy("m", "sum").agg(F.min("key").alias("key"), F.count("*").alias("like")).select("key", "m", "like")
     rest = stage(placed.join(open_, "key").join(wanted.select("node", "n", "point"), "node"), "open-blocks")
     if not rest.head(1):
         return first
     found = first.union(_few_joined(rest.where(F.col("m") <= few), hashes, wanted, percent))
-    crowded = rest.where(F.col("m") > few).drop("m")
+    crowded = rest.where(F.col("m") > few).drop("m", "like")
     return stage(found.union(_tree_joined(crowded, hashes, percent, leaf)) if crowded.head(1) else found, "all-links")
 
 
@@ -243,9 +265,9 @@ def components(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str
     rows = stage(sets(source, shingle, percent), "shingle-sets")
     grouped = rows.where("n > 0").groupBy("digest").agg(
         F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("key"), F.first("n").alias("n"), F.first("point").alias("point"),
-        F.first("blocks").alias("blocks"),
+        F.first("blocks").alias("blocks"), F.first("undealt").alias("undealt"),
     )
-    nodes = stage(grouped.select(F.monotonically_increasing_id().alias("node"), "digest", "least", "key.doc_id", "key.text_hash", "n", "point", "blocks"), "set-nodes")
+    nodes = stage(grouped.select(F.monotonically_increasing_id().alias("node"), "digest", "least", "key.doc_id", "key.text_hash", "n", "point", "blocks", "undealt"), "set-nodes")
     roots = connected(links(source, nodes, shingle, percent))
     placed = nodes.select("node", "digest", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = stage(placed, "placed-nodes")

@@ -44,12 +44,16 @@ def test_every_link_shares_a_block():
     for percent in (50, 80, 90, 95):
         blocks = jaccard_join.Blocks(percent)
         for _ in range(200):
-            n = int(rnd.integers(2, 400))
+            n = int(rnd.integers(2, 400)) if rnd.random() < 0.8 else int(rnd.integers(400, 5000))
             a = np.unique(rnd.integers(0, 1 << 63, n, dtype=np.uint64))
             b = a[rnd.random(len(a)) > (100 - percent) / 150]
             b = np.unique(np.concatenate([b, rnd.integers(0, 1 << 63, int(rnd.integers(0, max(n // 20, 1) + 1)), dtype=np.uint64)]))
             if len(b) and count_tree.similar(a, b, percent) and len(np.setxor1d(a, b)):
-                assert np.intersect1d(blocks.of(a), blocks.of(b)).size
+                (x, left_a), (y, left_b) = blocks.of(a), blocks.of(b)
+                shared = np.intersect1d(x, y).size
+                assert shared
+                if min(len(a), len(b)) >= blocks.smallest:
+                    assert shared >= blocks.least_shared(np.array([len(a)]), np.array([len(b)]), np.array([max(left_a, left_b)]))[0]
 
 
 def test_tree_finds_all_within_the_bound():
