@@ -16,11 +16,11 @@ from snippetry.plans import scoring, training
 from snippetry.plans.scoring import linear_score
 from snippetry.plans.search import search_lr as run_search
 from snippetry.session import staging_path, stage
-from snippetry.sources.tables import HUMAN, labelled_snippets, labels, snippets, table
+from snippetry.sources.tables import HUMAN, MACHINE, labelled_snippets, labels, snippets, table
 from snippetry.streaming.score_stream import snippet_stream, start_scoring
 
-# Settings of the registered training queries: the jobs' defaults are the full settings, these
-# only bound the running time of a check on a small machine.
+# Linear models and perceptrons run with the jobs' defaults. Boosted trees and the search take too long on a small machine
+# with theirs, so these settings bound their time.
 SMALL = {"max_features": 300}
 GBT = {"rounds": 4, "patience": 2, "depth": 3}
 
@@ -156,10 +156,12 @@ def report_averages_(spark, folder):
 
 
 def _parts(spark, folder, stored: bool = False):
-    rows = labelled_snippets(spark, folder)
+    """Splits of the labelled documents, or of all stored vectors with the parity of their own label."""
     if stored:
-        vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("snippet_id"), "embedding")
-        rows = rows.join(vectors, "snippet_id")
+        name = F.when(F.col("label") % 2 == 1, F.lit(HUMAN)).otherwise(F.lit(MACHINE))
+        rows = table(spark, folder, "embeddings").select(F.col("vec_id").alias("snippet_id"), "embedding", name.alias("label"))
+    else:
+        rows = labelled_snippets(spark, folder)
     rows = split_corpus(rows)
     return {s: rows.where(F.col("split") == s).drop("split") for s in ("train", "validation", "test")}
 
@@ -172,7 +174,7 @@ def _metrics(trained, test, family):
 @query()
 def train_lr(spark, folder):
     parts = _parts(spark, folder)
-    return _metrics(training.train_lr(parts["train"], **SMALL), parts["test"], "lr")
+    return _metrics(training.train_lr(parts["train"]), parts["test"], "lr")
 
 
 @query()
@@ -184,7 +186,7 @@ def train_gbt_tfidf(spark, folder):
 @query()
 def train_gbt_embed(spark, folder):
     parts = _parts(spark, folder, stored=True)
-    trained = training.train_gbt_embedding(parts["train"], parts["validation"], text="stored", **GBT)
+    trained = training.train_gbt_embedding(parts["train"], parts["validation"], text="stored", dense=[], **GBT)
     return _metrics(trained, parts["test"], "gbt_embedding")
 
 
@@ -192,7 +194,7 @@ def train_gbt_embed(spark, folder):
 def train_mlp(spark, folder):
     """Validation AUC per round."""
     parts = _parts(spark, folder, stored=True)
-    trained = training.train_mlp(parts["train"], parts["validation"], hidden=(32, 16), epochs=2, steps_per_epoch=5, text="stored")
+    trained = training.train_mlp(parts["train"], parts["validation"], text="stored")
     return spark.createDataFrame(trained.curve, "epoch int, auc double")
 
 
@@ -200,19 +202,19 @@ def train_mlp(spark, folder):
 def early_stop_prefix(spark, folder):
     """Validation AUC of every tree prefix that was looked at."""
     parts = _parts(spark, folder, stored=True)
-    trained = training.train_gbt_embedding(parts["train"], parts["validation"], text="stored", rounds=6, patience=3, depth=3)
+    trained = training.train_gbt_embedding(parts["train"], parts["validation"], text="stored", dense=[], rounds=6, patience=3, depth=3)
     return spark.createDataFrame(trained.curve, "trees int, auc double").withColumn("chosen", F.col("trees") == trained.rounds)
 
 
 @query()
 def search_lr(spark, folder):
-    return run_search(labelled_snippets(spark, folder), draws=3, folds=3, max_iter=50, **SMALL)
+    return run_search(_parts(spark, folder)["train"], draws=3, folds=3, max_iter=50, **SMALL)
 
 
 @query()
 def score_lr(spark, folder):
     parts = _parts(spark, folder)
-    return scoring.score(training.train_lr(parts["train"], **SMALL), labelled_snippets(spark, folder), "lr")
+    return scoring.score(training.train_lr(parts["train"]), snippets(spark, folder), "lr")
 
 
 @query()
@@ -232,14 +234,14 @@ def score_gbt_embed(spark, folder):
 @query()
 def score_mlp(spark, folder):
     parts = _parts(spark, folder)
-    trained = training.train_mlp(parts["train"], parts["validation"], hidden=(32, 16), epochs=2, steps_per_epoch=5)
+    trained = training.train_mlp(parts["train"], parts["validation"])
     return scoring.score(trained, snippets(spark, folder), "mlp")
 
 
 @query()
 def score_stream(spark, folder):
     """Documents arriving as a file stream, scored by the pipeline the batch job uses."""
-    trained = training.train_lr(_parts(spark, folder)["train"], **SMALL)
+    trained = training.train_lr(_parts(spark, folder)["train"])
     schema = table(spark, folder, "documents").schema
     arriving = snippet_stream(spark, f"{folder}/documents*.parquet", schema).select(
         F.col("doc_id").alias("snippet_id"), F.col("text").alias("code"), F.col("source").alias("task_name")

@@ -19,8 +19,8 @@ class LabelIndex:
         return LabelIndex(collect_classes(df, label))
 
     def require_two(self) -> "LabelIndex":
-        if len(self.classes) < 2:
-            raise ValueError("training needs at least two classes; rebalance or adjust the split")
+        if len(self.classes) != 2:
+            raise ValueError(f"training needs exactly two classes, not {len(self.classes)}; rebalance or adjust the split")
         return self
 
     def position(self, label: str) -> int:

@@ -3,7 +3,8 @@
 Rows are ordered inside each stratum by md5(id:seed). A part is a range of ranks, so it is enough to
 know the (hash, id) key at the last rank of each part. Those keys are found from counts per hash
 bucket plus a ranking of the few buckets that contain a boundary; then every row is placed by
-comparing its own key, with no shuffle of the wide rows.
+comparing its own key, with no shuffle of the wide rows. Ids are counted first: NULL ids, and ids that
+a stratum holds more than once, are refused, as no key could place them.
 """
 
 from __future__ import annotations
@@ -26,7 +27,14 @@ def part_boundaries(df: DataFrame, id_col: str, stratum: str, uppers: list[Colum
     keyed = df.select(
         F.col(stratum).alias("_s"), F.col(id_col).alias("_id"), hash_key(id_col, seed).alias("_h")
     ).withColumn("_b", F.substring("_h", 1, BUCKET_HEX))
-    counts = stage(keyed.groupBy("_s", "_b").agg(F.count("*").alias("_c")), "bucket-counts")
+    ids = keyed.groupBy("_s", "_b", "_id").agg(F.count("*").alias("_n"))
+    counts = ids.groupBy("_s", "_b").agg(
+        F.sum("_n").alias("_c"), F.coalesce(F.max("_n"), F.lit(0)).alias("_most"), F.count_if(F.col("_id").isNull()).alias("_nulls")
+    )
+    counts = stage(counts, "bucket-counts")
+    if counts.where("_most > 1 OR _nulls > 0").head(1):
+        raise ValueError(f"{id_col} must be given and unique; with_content_id makes such a key")
+    counts = counts.drop("_most", "_nulls")
     running = counts.withColumn(
         "_upto", F.sum("_c").over(Window.partitionBy("_s").orderBy("_b"))
     )
