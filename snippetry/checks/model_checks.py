@@ -19,8 +19,8 @@ from snippetry.session import staging_path, stage
 from snippetry.sources.tables import HUMAN, MACHINE, labelled_snippets, labels, snippets, table
 from snippetry.streaming.score_stream import snippet_stream, start_scoring
 
-# Linear models and perceptrons run with the jobs' defaults. Boosted trees and the search take too long on a small machine
-# with theirs, so these settings bound their time.
+# Perceptrons run with the job's defaults. The other families take too long on a small machine with theirs, so these settings
+# bound their time.
 SMALL = {"max_features": 300}
 GBT = {"rounds": 4, "patience": 2, "depth": 3}
 
@@ -174,7 +174,7 @@ def _metrics(trained, test, family):
 @query()
 def train_lr(spark, folder):
     parts = _parts(spark, folder)
-    return _metrics(training.train_lr(parts["train"]), parts["test"], "lr")
+    return _metrics(training.train_lr(parts["train"], **SMALL), parts["test"], "lr")
 
 
 @query()
@@ -214,7 +214,7 @@ def search_lr(spark, folder):
 @query()
 def score_lr(spark, folder):
     parts = _parts(spark, folder)
-    return scoring.score(training.train_lr(parts["train"]), snippets(spark, folder), "lr")
+    return scoring.score(training.train_lr(parts["train"], **SMALL), snippets(spark, folder), "lr")
 
 
 @query()
@@ -241,7 +241,7 @@ def score_mlp(spark, folder):
 @query()
 def score_stream(spark, folder):
     """Documents arriving as a file stream, scored by the pipeline the batch job uses."""
-    trained = training.train_lr(_parts(spark, folder)["train"])
+    trained = training.train_lr(_parts(spark, folder)["train"], **SMALL)
     schema = table(spark, folder, "documents").schema
     arriving = snippet_stream(spark, f"{folder}/documents*.parquet", schema).select(
         F.col("doc_id").alias("snippet_id"), F.col("text").alias("code"), F.col("source").alias("task_name")
