@@ -7,13 +7,13 @@ count and hash sum are its block. (A set is also dealt by the class of the small
 full groups that only empty ones may agree deals out those too.) Blocks hold near copies and hardly anything else.
 
 In a first round every member of a block is compared with the block's smallest node: that is linear in the block, and most
-blocks are connected by it. In the second, only blocks that still hold several components are looked at: of blocks that would
-fit one box of a tree the pairs between components are compared, each once however many blocks it shares, and only if it shares as
-many as linked sets of its sizes must (each differing shingle changes one group; a pair left by the first round has all its blocks
-here); of others the members are cut into
-leaves of at most ``LEAF`` points, leaves whose boxes cannot meet the overlap bound are left alone, and the others are joined by an
-R-tree, comparing only members of different components. Before any comparison the summed coordinate minima of the count
-vectors must reach the overlap that the similarity asks for.
+blocks are connected by it. In the second, only blocks that still hold several components are looked at. A block of at most
+``LEAF`` members gives the pairs between components, by an R-tree of its points if it would fill more than one box. A pair
+is compared once however many blocks it shares, and only if it shares as many as linked sets of its sizes must (each differing
+shingle changes one group; a pair left by the first round has all its blocks here). A larger block is cut into leaves of
+``LEAF`` points, leaves whose boxes cannot meet the overlap bound are left alone, and the others are joined by an R-tree,
+comparing only members of different components. Before any comparison the summed coordinate minima of the count vectors must
+reach the overlap that the similarity asks for.
 
 Defined cases: null and blank texts have no set, are linked with nothing and are their own component. A text of fewer words than
 a shingle has its whole sequence as the one shingle. Ids may repeat: a component is named by its smallest id (null if all are).
@@ -222,13 +222,35 @@ def _tree_joined(members: DataFrame, hashes: DataFrame, percent: int, leaf: int)
     return left.union(right).groupBy("key", "i", "j").applyInArrow(run, "a bigint, b bigint")
 
 
-def _few_joined(members: DataFrame, hashes: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """The same for blocks of a few members, which stand for ``like`` blocks of the same members each. Each pair is compared once
+def _tree_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b, like) pairs between components that an R-tree of a block's points cannot rule out. ``members`` are (key, like, node,
+    root, n, point) of blocks of at most a leaf, so a member has no more partners than that."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, root, n = (np.asarray(table.column(c)) for c in ("node", "root", "n"))
+        points = np.frombuffer(b"".join(table.column("point").to_pylist()), "<u4").reshape(table.num_rows, -1).astype(np.int64)
+        tree = count_tree.CountTree(points, n)
+        found = [np.zeros((2, 0), np.int64)]
+        for k in range(table.num_rows):
+            near = tree.near(points[k], n[k], percent)
+            near = near[(near < k) & (root[near] != root[k])]
+            found.append(np.stack([np.minimum(node[near], node[k]), np.maximum(node[near], node[k])]))
+        a, b = np.concatenate(found, axis=1)
+        like = np.full(len(a), table.column("like")[0].as_py(), np.int64)
+        return pa.table([a, b, like], names=["a", "b", "like"])
+
+    return members.groupBy("key").applyInArrow(run, "a bigint, b bigint, like bigint")
+
+
+def _leaf_joined(members: DataFrame, hashes: DataFrame, points: DataFrame, percent: int, few: int) -> DataFrame:
+    """The same for blocks of at most a leaf, which stand for ``like`` blocks of the same members each. Each pair is compared once
     if its blocks suffice. (Pairs that share a larger block too are compared there.)"""
-    a = members.select("key", "like", F.col("node").alias("a"), F.col("root").alias("root_a"))
-    b = members.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"))
-    pairs = a.join(b, "key").where("a < b AND root_a <> root_b").groupBy("a", "b").agg(F.sum("like").alias("shared"))
-    return _verified(stage(pairs, "few-pairs"), hashes, points, percent)
+    small = members.where(F.col("m") <= few)
+    a = small.select("key", "like", F.col("node").alias("a"), F.col("root").alias("root_a"))
+    b = small.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"))
+    pairs = a.join(b, "key").where("a < b AND root_a <> root_b").select("a", "b", "like")
+    pairs = pairs.union(_tree_pairs(members.where(F.col("m") > few).select("key", "like", "node", "root", "n", "point"), percent))
+    return _verified(stage(pairs.groupBy("a", "b").agg(F.sum("like").alias("shared")), "block-pairs"), hashes, points, percent)
 
 
 def links(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int, leaf: int = LEAF, few: int = count_tree.FAN_OUT) -> DataFrame:
@@ -253,8 +275,8 @@ def links(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int, leaf: i
     rest = stage(placed.join(open_, "key").join(wanted.select("node", "n", "point"), "node"), "open-blocks")
     if not rest.head(1):
         return first
-    found = first.union(_few_joined(rest.where(F.col("m") <= few), hashes, wanted, percent))
-    crowded = rest.where(F.col("m") > few).drop("m", "like")
+    found = first.union(_leaf_joined(rest.where(F.col("m") <= leaf), hashes, wanted, percent, few))
+    crowded = rest.where(F.col("m") > leaf).drop("m", "like")
     return stage(found.union(_tree_joined(crowded, hashes, percent, leaf)) if crowded.head(1) else found, "all-links")
 
 
