@@ -255,7 +255,8 @@ def _leaf_joined(members: DataFrame, hashes: DataFrame, points: DataFrame, perce
 
 def links(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int, leaf: int = LEAF, few: int = count_tree.FAN_OUT) -> DataFrame:
     """(a, b) links between ``nodes`` (node, doc_id, text_hash, n, point, blocks, undealt) that connect all whose sets are similar enough."""
-    dealt = nodes.select("node", F.explode("blocks").alias("key"))
+    # Dealt out once: the counts and the members are taken from the same shuffle.
+    dealt = nodes.select("node", F.explode("blocks").alias("key")).where("key IS NOT NULL").repartition("key")
     shared = dealt.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("pivot"), F.max("node").alias("last"))
     shared = shared.where("members > 1")
     members = stage(dealt.join(shared.select("key", "pivot", "members"), "key"), "block-members")
