@@ -19,11 +19,6 @@ from snippetry.session import staging_path, stage
 from snippetry.sources.tables import HUMAN, MACHINE, labelled_snippets, labels, snippets, table
 from snippetry.streaming.score_stream import snippet_stream, start_scoring
 
-# Perceptrons run with the job's defaults. The other families take too long on a small machine with theirs, so these settings
-# bound their time.
-SMALL = {"max_features": 300}
-GBT = {"rounds": 4, "patience": 2, "depth": 3}
-
 
 @query("SELECT DISTINCT source AS label, CAST(dense_rank() OVER (ORDER BY source) - 1 AS DOUBLE) AS label_idx FROM documents")
 def label_index(spark, folder):
@@ -156,10 +151,13 @@ def report_averages_(spark, folder):
 
 
 def _parts(spark, folder, stored: bool = False):
-    """Splits of the labelled documents, or of all stored vectors with the parity of their own label."""
+    """Splits of the labelled documents, or of all stored vectors with the parity of their own label. No table has the code of
+    stored vectors, so it is NULL and their engineered features are those of an empty text."""
     if stored:
         name = F.when(F.col("label") % 2 == 1, F.lit(HUMAN)).otherwise(F.lit(MACHINE))
-        rows = table(spark, folder, "embeddings").select(F.col("vec_id").alias("snippet_id"), "embedding", name.alias("label"))
+        rows = table(spark, folder, "embeddings").select(
+            F.col("vec_id").alias("snippet_id"), F.lit(None).cast("string").alias("code"), "embedding", name.alias("label")
+        )
     else:
         rows = labelled_snippets(spark, folder)
     rows = split_corpus(rows)
@@ -174,19 +172,19 @@ def _metrics(trained, test, family):
 @query()
 def train_lr(spark, folder):
     parts = _parts(spark, folder)
-    return _metrics(training.train_lr(parts["train"], **SMALL), parts["test"], "lr")
+    return _metrics(training.train_lr(parts["train"]), parts["test"], "lr")
 
 
 @query()
 def train_gbt_tfidf(spark, folder):
     parts = _parts(spark, folder)
-    return _metrics(training.train_gbt_tfidf(parts["train"], parts["validation"], **GBT, **SMALL), parts["test"], "gbt_tfidf")
+    return _metrics(training.train_gbt_tfidf(parts["train"], parts["validation"]), parts["test"], "gbt_tfidf")
 
 
 @query()
 def train_gbt_embed(spark, folder):
     parts = _parts(spark, folder, stored=True)
-    trained = training.train_gbt_embedding(parts["train"], parts["validation"], text="stored", dense=[], **GBT)
+    trained = training.train_gbt_embedding(parts["train"], parts["validation"], text="stored")
     return _metrics(trained, parts["test"], "gbt_embedding")
 
 
@@ -202,32 +200,32 @@ def train_mlp(spark, folder):
 def early_stop_prefix(spark, folder):
     """Validation AUC of every tree prefix that was looked at."""
     parts = _parts(spark, folder, stored=True)
-    trained = training.train_gbt_embedding(parts["train"], parts["validation"], text="stored", dense=[], rounds=6, patience=3, depth=3)
+    trained = training.train_gbt_embedding(parts["train"], parts["validation"], text="stored")
     return spark.createDataFrame(trained.curve, "trees int, auc double").withColumn("chosen", F.col("trees") == trained.rounds)
 
 
 @query()
 def search_lr(spark, folder):
-    return run_search(_parts(spark, folder)["train"], draws=3, folds=3, max_iter=50, **SMALL)
+    return run_search(_parts(spark, folder)["train"])
 
 
 @query()
 def score_lr(spark, folder):
     parts = _parts(spark, folder)
-    return scoring.score(training.train_lr(parts["train"], **SMALL), snippets(spark, folder), "lr")
+    return scoring.score(training.train_lr(parts["train"]), snippets(spark, folder), "lr")
 
 
 @query()
 def score_gbt_tfidf(spark, folder):
     parts = _parts(spark, folder)
-    return scoring.score(training.train_gbt_tfidf(parts["train"], **{**GBT, "rounds": 3}, **SMALL), snippets(spark, folder), "gbt_tfidf")
+    return scoring.score(training.train_gbt_tfidf(parts["train"]), snippets(spark, folder), "gbt_tfidf")
 
 
 @query()
 def score_gbt_embed(spark, folder):
     """Embeddings encoded from the text on both sides."""
     parts = _parts(spark, folder)
-    trained = training.train_gbt_embedding(parts["train"], **{**GBT, "rounds": 3})
+    trained = training.train_gbt_embedding(parts["train"])
     return scoring.score(trained, snippets(spark, folder), "gbt_embedding")
 
 
@@ -241,7 +239,7 @@ def score_mlp(spark, folder):
 @query()
 def score_stream(spark, folder):
     """Documents arriving as a file stream, scored by the pipeline the batch job uses."""
-    trained = training.train_lr(_parts(spark, folder)["train"], **SMALL)
+    trained = training.train_lr(_parts(spark, folder)["train"])
     schema = table(spark, folder, "documents").schema
     arriving = snippet_stream(spark, f"{folder}/documents*.parquet", schema).select(
         F.col("doc_id").alias("snippet_id"), F.col("text").alias("code"), F.col("source").alias("task_name")

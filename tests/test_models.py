@@ -6,6 +6,8 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
+from snippetry.checks import model_checks
+from snippetry.checks.registry import QUERIES
 from snippetry.operators.splitting import split_corpus
 from snippetry.plans import jobs, training
 from snippetry.plans.scoring import evaluate, score
@@ -154,3 +156,27 @@ def test_content_ids(spark):
     assert len({r["snippet_id"] for r in rows}) == len(rows) == 10
     again = with_content_id(df.repartition(5), chunk=4).collect()
     assert sorted(map(str, again)) == sorted(map(str, rows))
+
+
+@pytest.mark.parametrize("name", ["train_lr", "train_gbt_tfidf", "train_gbt_embed", "early_stop_prefix", "search_lr", "score_lr",
+                                  "score_gbt_tfidf", "score_gbt_embed", "score_stream"])
+def test_registered_jobs_run_with_the_defaults(spark, folder, monkeypatch, name):
+    class Called(Exception):
+        pass
+
+    def called(*_, **options):
+        raise Called(options)
+
+    for job in ("train_lr", "train_gbt_tfidf", "train_gbt_embedding"):
+        monkeypatch.setattr(training, job, called)
+    monkeypatch.setattr(model_checks, "run_search", called)
+    with pytest.raises(Called) as seen:
+        QUERIES[name](spark, folder)
+    assert set(seen.value.args[0]) <= {"text"}
+
+
+def test_stored_vectors_are_stacked_on_dense_features(spark, folder):
+    train = model_checks._parts(spark, folder, stored=True)["train"]
+    fitted = training.fit_features(train, "stored")
+    assert fitted.training_rows(training.LabelIndex.fit(train)).count() == train.count()
+    assert fitted.rows(train, training.LabelIndex.fit(train)).first()["features"].size == 64 + 44
