@@ -5,8 +5,9 @@ A word of the lexicon scores its log frequency in each language. An unseen word
 word says nothing. A document's score adds up its words.
 
 Training counts all words of all labelled rows: tasks count what they read, Spark adds up by (language, word). N-grams are
-counted from those totals. The model keeps the ``lexicon`` most frequent words and ``grams`` most frequent n-grams; that is
-its size and the bound of what is broadcast (entries times languages), rarer words are unseen ones.
+counted from those totals. Every counted word and n-gram is kept, in staged tables. Tasks hold the ``lexicon`` most frequent
+words, which only saves work: all other words of the documents are joined to the tables, word rows first, n-gram rows for words
+without one, and their scores added up by text. Results do not depend on ``lexicon``.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, as is every text if no language was learned. Null
 labels are not learned. Equal scores go to the language first in code point order. Rows are judged by themselves, so repeated
@@ -23,7 +24,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql import types as T
 
 from snippetry.llm.common import raw
 from snippetry.session import stage
@@ -46,45 +46,34 @@ def grams(word: str, n: int) -> list[str]:
 
 @dataclass
 class LanguageModel:
-    """log_words[i] and log_grams[i] hold one number a language."""
+    """log_words[i] holds one number a language for a frequent word; the tables hold (item, scores) of all words and n-grams."""
 
     languages: list[str]
     words: dict[str, int]
     log_words: np.ndarray
-    grams: dict[str, int]
-    log_grams: np.ndarray
+    word_table: DataFrame
+    gram_table: DataFrame
 
     def backed_off(self, word: str) -> np.ndarray:
-        for n in range(LONGEST, 0, -1):
-            known = [self.grams[g] for g in grams(word, n) if g in self.grams]
-            if known:
-                return self.log_grams[known].mean(axis=0)
-        return np.zeros(len(self.languages))
-
-
-class _Scores(dict):
-    """Row of each word in a table of scores. Rows of unseen words are computed once and forgotten when the table is full."""
-
-    def __init__(self, model: LanguageModel):
-        super().__init__(model.words)
-        n = len(model.languages)
-        self.model, self.base = model, len(model.words)
-        self.rows = np.zeros((self.base + max(20_000, 8_000_000 // n), n))
-        self.rows[: self.base] = model.log_words
-
-    def __missing__(self, word: str) -> int:
-        row = len(self)
-        self.rows[row] = self.model.backed_off(word)
-        self[word] = row
-        return row
-
-    def trim(self, coming: int) -> None:
-        if len(self) + coming > len(self.rows):
-            self.clear()
-            self.update(self.model.words)
-            if self.base + coming > len(self.rows):
-                self.rows = np.resize(self.rows, (self.base + coming, self.rows.shape[1]))
-                self.rows[: self.base] = self.model.log_words
+        """Scores of a word as if it were unseen; zeros if no n-gram is known."""
+        found = self.unseen(self.word_table.sparkSession.createDataFrame([(word,)], "item string")).first()
+        return np.array(found["scores"])
+
+    def unseen(self, items: DataFrame) -> DataFrame:
+        """(item, scores) of distinct unseen words by their longest known n-grams."""
+        marked = F.concat(F.lit("^"), F.col("item"), F.lit("$"))
+        sizes = [F.struct(F.lit(n).alias("k"), _pieces(marked if n > 1 else F.col("item"), n).alias("pieces")) for n in range(1, LONGEST + 1)]
+        sized = items.select("item", F.inline(F.array(*sizes))).select("item", "k", F.explode("pieces").alias("gram"))
+        known = sized.join(self.gram_table.withColumnRenamed("item", "gram"), "gram")
+        mean = F.array(*[F.avg(F.col("scores")[i]) for i in range(len(self.languages))])
+        longest = known.groupBy("item", "k").agg(mean.alias("scores")).groupBy("item").agg(F.max_by("scores", "k").alias("scores"))
+        zeros = F.array(*[F.lit(0.0)] * len(self.languages))
+        return items.join(longest, "item", "left").select("item", F.coalesce("scores", zeros).alias("scores"))
+
+
+def _pieces(text: Column, n: int) -> Column:
+    starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1))
+    return F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,72 +111,89 @@ def _flushed(counts: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
 _COUNTS = "lang string, item string, n bigint"
 
 
-def _top(counts: DataFrame, k: int) -> list[tuple[str, dict[str, int]]]:
-    """The k items of highest total with their counts by language; ties by code point."""
-    per_item = counts.groupBy("item").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    return [(r["item"], r["by"]) for r in per_item.orderBy(F.desc("total"), "item").limit(k).collect()]
+def _by_item(counts: DataFrame, languages: list[str], name: str) -> DataFrame:
+    """(item, total, counts): the counts of every item in the order of the languages."""
+    per_language = F.array(*[F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)) for x in languages])
+    return stage(counts.groupBy("item").agg(F.sum("n").alias("total"), per_language.cast("array<bigint>").alias("counts")), name)
 
 
-def _log_table(items: list, languages: list[str], totals: dict[str, int], smooth: float) -> np.ndarray:
-    counts = np.array([[by.get(x, 0) for x in languages] for _, by in items], dtype=float).reshape(len(items), len(languages))
-    total = np.array([totals[x] for x in languages], dtype=float)
-    return np.log((counts + smooth) / (total + smooth * max(len(items), 1)))
+def _scores(smooth: float, totals: list[Column]) -> Column:
+    cells = [F.log((F.col("counts")[i] + F.lit(smooth)) / total) for i, total in enumerate(totals)]
+    return F.array(*cells).cast("array<double>").alias("scores")
 
 
-def train(labelled: DataFrame, lexicon: int = 50_000, grams: int = 50_000, smooth: float = 0.5, text: str = "text",
-          lang: str = "lang") -> LanguageModel:
+def train(labelled: DataFrame, lexicon: int = 50_000, smooth: float = 0.5, text: str = "text", lang: str = "lang") -> LanguageModel:
     """Learn from every row with a text and a language."""
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     counted = stage(rows.mapInArrow(_counted, _COUNTS).groupBy("lang", "item").agg(F.sum("n").alias("n")), "language-words")
     parts = stage(counted.mapInArrow(_grams_counted, _COUNTS).groupBy("lang", "item").agg(F.sum("n").alias("n")), "language-grams")
     totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    languages = sorted(totals)
     order = F.length("item")
     sized = {(r["lang"], r["k"]): r["n"] for r in parts.groupBy("lang", order.alias("k")).agg(F.sum("n").alias("n")).collect()}
-    languages = sorted(totals)
-    top_words, top_grams = _top(counted, lexicon), _top(parts, grams)
+    all_words, all_grams = _by_item(counted, languages, "language-lexicon"), _by_item(parts, languages, "language-gram-lexicon")
+    n_words = all_words.count()
+    n_grams = {r["k"]: r["count"] for r in all_grams.groupBy(order.alias("k")).count().collect()}
+    word_table = all_words.select("item", "total", _scores(smooth, [F.lit(totals[x] + smooth * n_words) for x in languages]))
     # Each order of n-grams is a distribution of its own.
-    log_grams = np.zeros((len(top_grams), len(languages)))
-    for k in range(1, LONGEST + 1):
-        at = [i for i, (g, _) in enumerate(top_grams) if len(g) == k]
-        if at:
-            log_grams[at] = _log_table([top_grams[i] for i in at], languages, {x: sized.get((x, k), 0) for x in languages}, smooth)
-    return LanguageModel(
-        languages, {w: i for i, (w, _) in enumerate(top_words)}, _log_table(top_words, languages, totals, smooth),
-        {g: i for i, (g, _) in enumerate(top_grams)}, log_grams,
-    )
+    of_order = [F.array(*[F.lit(float(sized.get((x, k), 0) + smooth * n_grams.get(k, 0))) for k in range(1, LONGEST + 1)])[order - 1] for x in languages]
+    gram_table = all_grams.select("item", _scores(smooth, of_order))
+    top = word_table.orderBy(F.desc("total"), "item").limit(lexicon).collect()
+    log_words = np.array([r["scores"] for r in top], dtype=float).reshape(len(top), len(languages))
+    return LanguageModel(languages, {r["item"]: i for i, r in enumerate(top)}, log_words, word_table.drop("total"), gram_table)
+
+
+_PARTIAL = "digest binary, letters boolean, n bigint, sums array<double>, rest array<struct<item: string, times: bigint>>"
+
+
+def _judged_texts(texts: DataFrame, model: LanguageModel, certain_words: int) -> DataFrame:
+    """(digest, lang_pred, score) of the distinct texts among (digest, text) rows."""
+    shared = texts.sparkSession.sparkContext.broadcast((model.words, model.log_words))
+    arrow = pa.schema([("digest", pa.binary()), ("letters", pa.bool_()), ("n", pa.int64()), ("sums", pa.list_(pa.float64())),
+                       ("rest", pa.list_(pa.struct([("item", pa.string()), ("times", pa.int64())])))])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, log_words = shared.value
+        for batch in batches:
+            letters, sizes, sums, rest = [], [], [], []
+            for value in raw(batch, "text"):
+                found = words(value)
+                at = [known.get(w, -1) for w in found]
+                letters.append(any(w.isalpha() for w in found) or any(c.isalpha() for w in found for c in w))
+                sizes.append(len(found))
+                sums.append(log_words[[i for i in at if i >= 0]].sum(axis=0).tolist())
+                others = Counter(w for w, i in zip(found, at) if i < 0)
+                rest.append([{"item": w, "times": n} for w, n in others.items()])
+            columns = [batch.column("digest"), letters, sizes, sums, rest]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    partial = stage(texts.mapInArrow(summed, _PARTIAL).dropDuplicates(["digest"]), "language-sums")
+    pairs = partial.select("digest", F.inline("rest"))
+    asked = stage(pairs.select("item").distinct().join(model.word_table, "item", "left"), "language-asked")
+    unseen = model.unseen(asked.where("scores IS NULL").select("item"))
+    scores = stage(asked.where("scores IS NOT NULL").unionByName(unseen), "language-scores")
+    n = len(model.languages)
+    added = pairs.join(scores, "item").groupBy("digest").agg(F.array(*[F.sum(F.col("times") * F.col("scores")[i]) for i in range(n)]).alias("added"))
+    mean = F.array(*[(F.col("sums")[i] + F.coalesce(F.col("added")[i], F.lit(0.0))) / F.col("n") for i in range(n)])
+    sure = F.transform(mean, lambda x: x * F.least(F.col("n"), F.lit(certain_words)))
+    judged = partial.where("letters").join(added, "digest", "left").select("digest", sure.alias("v"))
+    total = F.aggregate(F.transform("v", lambda x: F.exp(x - F.array_max("v"))), F.lit(0.0), lambda a, x: a + x)
+    names = F.array(*[F.lit(x) for x in model.languages])
+    best = F.element_at(names, F.array_position("v", F.array_max("v")).cast("int"))
+    return stage(judged.select("digest", best.alias("lang_pred"), (1 / total).alias("score")), "language-judged")
 
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text", certain_words: int = 10) -> DataFrame:
     """``docs`` with lang_pred and score: the softmax over languages of the mean word score times the number of words, at most
     ``certain_words`` (all words count for the mean; longer texts are not held to be surer than that)."""
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        table = _Scores(own) if own.languages else None
-        for batch in batches:
-            names, scores = [], []
-            for value in raw(batch, text):
-                name, score = _judged(words(value), own, table, certain_words)
-                names.append(name)
-                scores.append(score)
-            columns = [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "lang_pred", "score"])
-
-    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(judge, schema)
-
-
-def _judged(found: list[str], model: LanguageModel, table: _Scores | None, certain_words: int) -> tuple[str, float]:
-    letters = any(w.isalpha() for w in found) or any(c.isalpha() for w in found for c in w)
-    if not letters or table is None:
-        return UNDETERMINED, 0.0
-    table.trim(len(found))
-    rows = np.fromiter(map(table.__getitem__, found), dtype=np.int64, count=len(found))
-    mean = table.rows[rows].mean(axis=0) * min(len(found), certain_words)
-    best = int(np.argmax(mean))
-    return model.languages[best], float(1 / np.exp(mean - mean[best]).sum())
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
+    if not model.languages:
+        return docs.select(*kept, F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
+    digest = F.unhex(F.md5(F.col(f"`{text}`").cast("binary")))
+    texts = docs.select(digest.alias("digest"), F.col(f"`{text}`").alias("text")).where("text IS NOT NULL")
+    judged = _judged_texts(texts, model, certain_words).withColumnsRenamed({"digest": "_digest", "lang_pred": "_lang", "score": "_score"})
+    name, score = F.coalesce("_lang", F.lit(UNDETERMINED)), F.coalesce("_score", F.lit(0.0))
+    return docs.join(judged, digest == F.col("_digest"), "left").select(*kept, name.alias("lang_pred"), score.alias("score"))
 
 
 def held_out(doc_id: Column, fold: int = 5, rest: int = 0) -> Column:

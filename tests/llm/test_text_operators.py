@@ -218,3 +218,24 @@ def test_boilerplate_is_relative_to_the_site(spark):
     assert got[0]["kept"] == ["text 0", "shared"] and got[3]["kept"] == ["text 3", "own 3"] and got[0]["host"] == "a.example"
     assert got[9]["kept"] == ["Home", "Home"] and got[10]["kept"] == ["Home"] and got[11]["lines"] == [] and got[12]["host"] is None
     assert line_dedup.drop_boilerplate(pages.where("false")).count() == 0
+
+
+def test_language_keeps_rare_words_and_grams(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    seen = docs.where(~language_id.held_out(F.col("doc_id")))
+    wide = {r["doc_id"]: r for r in language_id.predict(docs, language_id.train(seen)).select("doc_id", "lang_pred", "score").collect()}
+    tiny = language_id.predict(docs, language_id.train(seen, lexicon=3)).select("doc_id", "lang_pred", "score").collect()
+    assert len(tiny) == len(wide) == docs.count()
+    for r in tiny:
+        assert r["lang_pred"] == wide[r["doc_id"]]["lang_pred"] and abs(r["score"] - wide[r["doc_id"]]["score"]) < 1e-9
+
+
+def test_language_of_rare_words_and_copies(spark):
+    rows_ = [(i, "aa aa aa bb", "de") for i in range(9)] + [(9, "cc", "en"), (10, "cc dd", "en")]
+    model = language_id.train(spark.createDataFrame(rows_, "doc_id bigint, text string, lang string"), lexicon=1)
+    docs = spark.createDataFrame([(1, "cc dd cc"), (2, "cc dd cc"), (2, "cc dd cc"), (None, "bb"), (3, None)], "doc_id bigint, text string")
+    got = language_id.predict(docs, model).collect()
+    assert sorted(r["lang_pred"] for r in got) == ["de", "en", "en", "en", "und"]
+    # By hand: 4 words, 36 running ones in de and 3 in en, smoothed by 0.5.
+    de, en = (2 * np.log(0.5 / 38) + np.log(0.5 / 38)), (2 * np.log(2.5 / 5) + np.log(1.5 / 5))
+    assert all(abs(r["score"] - 1 / (1 + np.exp(de - en))) < 1e-9 for r in got if r["lang_pred"] == "en")
