@@ -24,8 +24,7 @@ from snippetry.sources.corpus import spread
 from snippetry.sources.tables import labelled_snippets, snippets, table, template_snippets
 
 LINE_FEATURES = [*LINE_STATS, *INDENT_STATS]
-VOCABULARY_SIZE = 1000
-WEIGHTS_VOCABULARY = 200
+VOCABULARY_SIZE = WEIGHTS_VOCABULARY = 50_000  # the operator's max_features
 
 
 def _r(names, prefix=""):

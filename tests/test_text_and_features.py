@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from snippetry.checks import feature_checks
+from snippetry.checks.registry import ORACLES, QUERIES
 from snippetry.functions.text import collapse_whitespace, normalise_newlines, rstrip_lines
 from snippetry.operators.code_features import FEATURES, with_code_features
 from snippetry.operators.syntax_facts import facts_of, with_syntax_facts
@@ -105,3 +107,10 @@ def test_partitions_do_not_matter(spark, texts):
 def test_parsed_once(spark, texts, capsys):
     with_code_features(texts).explain()
     assert capsys.readouterr().out.count("ArrowEvalPython") == 1
+
+
+def test_registered_vocabulary_is_that_of_the_job(spark, folder):
+    assert QUERIES["ngram_vocab_topk"](spark, folder).count() == 50_000
+    width = f"CAST({50_000 + len(feature_checks.LINE_FEATURES)} AS BIGINT) AS width"
+    assert all("LIMIT 50000" in ORACLES[q] for q in ("ngram_vocab_index", "idf_smooth", "tfidf_weights", "tfidf_transform_unseen"))
+    assert width in ORACLES["stack_sparse_dense"]
