@@ -21,7 +21,7 @@ from snippetry.operators.tfidf import CharTfidf, char_grams, corpus_counts, gram
 from snippetry.plans.jobs import build_code_features as code_features_job
 from snippetry.plans.training import fit_features
 from snippetry.sources.corpus import spread
-from snippetry.sources.tables import labelled_snippets, snippets, table, template_snippets
+from snippetry.sources.tables import labelled_snippets, labels, snippets, table, template_snippets
 
 LINE_FEATURES = [*LINE_STATS, *INDENT_STATS]
 VOCABULARY_SIZE = WEIGHTS_VOCABULARY = 50_000  # the operator's max_features
@@ -95,7 +95,9 @@ def feat_all44(spark, folder):
 
 @query()
 def build_code_features(spark, folder):
-    return code_features_job(split_corpus(labelled_snippets(spark, folder)))
+    """All documents; those without a label are a stratum of their own."""
+    rows = snippets(spark, folder).join(labels(spark, folder), "snippet_id", "left")
+    return code_features_job(split_corpus(rows))
 
 
 @query(f"""WITH {SNIPPETS}, {grams("snippets")}

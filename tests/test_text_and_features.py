@@ -109,6 +109,13 @@ def test_parsed_once(spark, texts, capsys):
     assert capsys.readouterr().out.count("ArrowEvalPython") == 1
 
 
+def test_code_features_of_all_documents(spark, folder):
+    got = QUERIES["build_code_features"](spark, folder)
+    n = spark.read.parquet(f"{folder}/documents.parquet").count()
+    assert got.where("split IS NOT NULL").count() == n > spark.read.parquet(f"{folder}/labels.parquet").count()
+    assert got.select("snippet_id").distinct().count() == n
+
+
 def test_registered_vocabulary_is_that_of_the_job(spark, folder):
     assert QUERIES["ngram_vocab_topk"](spark, folder).count() == 50_000
     width = f"CAST({50_000 + len(feature_checks.LINE_FEATURES)} AS BIGINT) AS width"
