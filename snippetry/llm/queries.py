@@ -40,7 +40,7 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
-    files = token_files.write(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
+    files = token_files.write(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER), by_words=True)
     read = token_files.starts(stage(token_files.read_all(files), "token-rows"))
     return read.select("doc_id", "start", "n_tokens", "ids_crc32")
 

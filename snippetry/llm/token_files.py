@@ -183,10 +183,10 @@ class TokenFiles:
 _INDEX = "doc_id bigint, file string, shard int, slot bigint, frame int, place int, n_tokens bigint"
 
 
-def write(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = 1, width: int = 2, by_words: bool = True,
+def write(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = 1, width: int = 2, by_words: bool = False,
           shard_bytes: int = 16 << 20, frame_bytes: int = 256 << 10, doc_id: str = "doc_id", text: str = "text") -> TokenFiles:
     """Encode ``docs`` with the tokenizer file and write shards of about ``shard_bytes`` of text into ``path`` (a folder that all
-    executors reach, default: a staged one), the index beside them."""
+    executors reach, default: a staged one), the index beside them. Ask for ``by_words`` only where it suits the file (see Encoder)."""
     spark = docs.sparkSession
     path = path or staging_path(spark, "token-files")
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))

@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer, models, pre_tokenizers
 
 from snippetry.llm import chat, decontamination, language_id, line_dedup, quality_classifier, quality_rules, token_files
 
@@ -239,3 +240,12 @@ def test_language_of_rare_words_and_copies(spark):
     # By hand: 4 words, 36 running ones in de and 3 in en, smoothed by 0.5.
     de, en = (2 * np.log(0.5 / 38) + np.log(0.5 / 38)), (2 * np.log(2.5 / 5) + np.log(1.5 / 5))
     assert all(abs(r["score"] - 1 / (1 + np.exp(de - en))) < 1e-9 for r in got if r["lang_pred"] == "en")
+
+
+def test_cased_tokenizer_files_keep_case(spark, tmp_path):
+    cased = Tokenizer(models.WordLevel({"[UNK]": 0, "A": 2, "a": 3}, unk_token="[UNK]"))
+    cased.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    cased.save(f"{tmp_path}/cased.json")
+    files = token_files.write(spark.createDataFrame([(1, "A a")], "doc_id bigint, text string"), f"{tmp_path}/cased.json")
+    row = token_files.starts(token_files.read_all(files)).first()
+    assert (row["n_tokens"], row["ids_crc32"]) == (3, zlib.crc32(np.array([2, 3, 1], "<u4").tobytes()))
