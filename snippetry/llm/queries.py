@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 from snippetry.llm import (
-    chat, decontamination, jaccard_join, language_id, line_dedup, mixing, quality_classifier, quality_rules, repeated_bytes,
-    sql_text, token_files,
+    chat, decontamination, embedding_copies, fill_in_middle, hard_negatives, jaccard_join, language_id, line_dedup, mixing,
+    quality_classifier, quality_rules, repeated_bytes, sql_text, token_files,
 )
 from snippetry.llm.common import table
 from snippetry.session import stage
@@ -83,6 +83,24 @@ def op10_repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
     return removed.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    rows = hard_negatives.quantised(table(spark, folder, "embeddings"), scale=256, label=moved)
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0, n_positives=5, n_negatives=10, low=30, high=90)
+
+
+def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    formed = fill_in_middle.transform(table(spark, folder, "documents").select("doc_id", "text"), seed="1", plain_percent=10, spm_percent=20)
+    read = fill_in_middle.restored(formed.select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", "output"))
+    digests = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("output", "restored")]
+    return read.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_embedding_copies(spark: SparkSession, folder: str) -> DataFrame:
+    linked = embedding_copies.components(table(spark, folder, "embeddings"), threshold=0.93)
+    return linked.select("vec_id", "n_links", "component_id", "kept")
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
 
@@ -91,7 +109,8 @@ LLM_QUERIES = {
     f.__name__: f
     for f in (
         op1_benchmark_decontamination, op2_chat_formatting, op3_quality_rules, op4_token_files, op5_language_id, op6_line_dedup,
-        op7_ngram_jaccard_join, op8_quality_classifier, op9_mixing, op10_repeated_bytes, pipeline,
+        op7_ngram_jaccard_join, op8_quality_classifier, op9_mixing, op10_repeated_bytes, op11_hard_negatives, op12_fill_in_middle, op13_embedding_copies,
+        pipeline,
     )
 }
 
@@ -101,4 +120,7 @@ LLM_ORACLES = {
     "op3_quality_rules": sql_text.QUALITY_RULES,
     "op6_line_dedup": sql_text.LINE_DEDUP,
     "op7_ngram_jaccard_join": sql_text.JACCARD,
+    "op11_hard_negatives": sql_text.HARD_NEGATIVES,
+    "op12_fill_in_middle": sql_text.FILL_IN_MIDDLE,
+    "op13_embedding_copies": sql_text.EMBEDDING_COPIES,
 }

@@ -97,3 +97,58 @@ reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.b F
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
 FROM documents d LEFT JOIN size USING (doc_id) JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) ON x = d.doc_id
 """
+
+# Components as whole numbers, and the anchors' scores against all other rows.
+HARD_NEGATIVES = r"""
+WITH given AS (
+  SELECT row_number() OVER () AS row, vec_id, embedding AS x, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+sound AS (SELECT * FROM given WHERE len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+part AS (
+  SELECT row, vec_id, label, unnest(range(1, len(x) + 1)) AS i, CAST(floor(256 * CAST(unnest(x) AS DOUBLE)) AS BIGINT) AS c FROM sound),
+score AS (
+  SELECT a.row AS a_row, a.vec_id AS anchor_id, a.label AS a_label, b.row AS row, b.vec_id AS vec_id, b.label AS label, CAST(sum(a.c * b.c) AS BIGINT) AS s
+  FROM part a JOIN part b ON a.i = b.i WHERE a.vec_id % 100 = 0 AND a.row <> b.row GROUP BY ALL),
+positive AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a_row ORDER BY s DESC, vec_id) AS r FROM score WHERE label = a_label) WHERE r <= 5),
+negative AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, p.s AS positive_score, n.vec_id AS negative_id, n.s AS negative_score,
+         CAST(row_number() OVER (PARTITION BY p.a_row, p.row ORDER BY n.s DESC, n.vec_id) AS INTEGER) AS rank
+  FROM positive p JOIN score n ON n.a_row = p.a_row AND n.label <> p.a_label AND 30 * p.s <= 100 * n.s AND 100 * n.s <= 90 * p.s)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM negative WHERE rank <= 10
+"""
+
+FILL_IN_MIDDLE = r"""
+WITH given AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+hashed AS (
+  SELECT *, length(t) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+         CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM given),
+placed AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM hashed),
+cut AS (SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM placed)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+       CASE WHEN form <> 'plain' THEN CAST(a AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(b - a AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256 FROM cut
+"""
+
+# Equal labels and a cosine of 0.93 or more; components by spreading the smallest id.
+EMBEDDING_COPIES = r"""
+WITH RECURSIVE given AS (
+  SELECT row_number() OVER () AS row, vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+sound AS (
+  SELECT row, label, x, sqrt(list_inner_product(x, x)) AS norm FROM given
+  WHERE label IS NOT NULL AND x IS NOT NULL AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(x, lambda c: c <> 0)) > 0),
+link AS (
+  SELECT a.row AS a, b.row AS b FROM sound a JOIN sound b
+  ON a.label = b.label AND a.row <> b.row AND list_inner_product(a.x, b.x) / (a.norm * b.norm) >= 0.93),
+reach AS (SELECT row AS a, row AS b FROM given UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+least_id AS (SELECT r.a, min(g.vec_id) AS component_id FROM reach r JOIN given g ON g.row = r.b GROUP BY r.a),
+n AS (SELECT a, count(*) AS n_links FROM link GROUP BY a)
+SELECT g.vec_id, coalesce(n.n_links, 0) AS n_links, l.component_id, g.vec_id IS NOT DISTINCT FROM l.component_id AS kept
+FROM given g JOIN least_id l ON l.a = g.row LEFT JOIN n ON n.a = g.row
+"""
