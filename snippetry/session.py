@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,9 +63,53 @@ def drop_stages(spark: SparkSession) -> None:
     drop_path(spark, stage_root(spark))
 
 
+class Scope:
+    """The staged tables of a piece of work, in the order in which they were written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.kept = spark, [], []
+
+    def keep(self, staged: DataFrame) -> DataFrame:
+        """``staged`` outlives the scope; the scope around it, if there is one, takes it over."""
+        self.kept.append(staged.staged_path)
+        return staged
+
+    def drop(self, *staged: DataFrame) -> None:
+        """Remove tables that nothing reads any more before the scope ends."""
+        for path in [df.staged_path for df in staged] if staged else list(self.paths):
+            self.paths.remove(path)
+            drop_path(self.spark, path)
+        # Shuffle files go when Spark's cleaner sees that no plan refers to them any more.
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
+
+_open: list[Scope] = []
+
+
+@contextmanager
+def stage_scope(spark: SparkSession) -> Iterator[Scope]:
+    """Tables staged inside are removed at the end, but for those kept: results that leave the scope must be written or kept."""
+    scope = Scope(spark)
+    _open.append(scope)
+    try:
+        yield scope
+    finally:
+        _open.remove(scope)
+        kept = [p for p in scope.paths if p in scope.kept]
+        scope.paths = [p for p in scope.paths if p not in scope.kept]
+        if _open:
+            _open[-1].paths += kept
+        scope.drop()
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: work shared by several later jobs is
     done once, survives executor loss, and the planner sees real sizes and prunes columns."""
     path = staging_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _open:
+        _open[-1].paths.append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
