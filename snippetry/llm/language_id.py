@@ -9,6 +9,10 @@ counted from those totals. Every counted word and n-gram is kept, in staged tabl
 words, which only saves work: all other words of the documents are joined to the tables, word rows first, n-gram rows for words
 without one, and their scores added up by text. Results do not depend on ``lexicon``.
 
+Frequencies are relative to what was counted in a language, and every item gets the same small one on top in all languages
+(``smooth`` occurrences in the whole corpus). So languages in which a word does not occur score it alike, however much text they
+have, and none of them beats one in which it occurs.
+
 Defined cases: a text that is null or has no letter is ``und`` with score 0, as is every text if no language was learned. Null
 labels are not learned. Equal scores go to the language first in code point order. Rows are judged by themselves, so repeated
 rows agree; extra columns pass through, except ones named lang_pred or score, which are replaced.
@@ -26,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from snippetry.llm.common import raw
-from snippetry.session import stage
+from snippetry.operators.bounded import join_checked
+from snippetry.session import drop_path, stage, stage_scope
 
 UNDETERMINED = "und"
 LONGEST = 4
@@ -53,6 +58,12 @@ class LanguageModel:
     log_words: np.ndarray
     word_table: DataFrame
     gram_table: DataFrame
+    paths: list[str]
+
+    def drop(self) -> None:
+        """Remove the tables when all texts are judged."""
+        for path in self.paths:
+            drop_path(self.word_table.sparkSession, path)
 
     def backed_off(self, word: str) -> np.ndarray:
         """Scores of a word as if it were unseen; zeros if no n-gram is known."""
@@ -117,37 +128,45 @@ def _by_item(counts: DataFrame, languages: list[str], name: str) -> DataFrame:
     return stage(counts.groupBy("item").agg(F.sum("n").alias("total"), per_language.cast("array<bigint>").alias("counts")), name)
 
 
-def _scores(smooth: float, totals: list[Column]) -> Column:
-    cells = [F.log((F.col("counts")[i] + F.lit(smooth)) / total) for i, total in enumerate(totals)]
-    return F.array(*cells).cast("array<double>").alias("scores")
+def _scores(smooth: float, totals: list[Column], items: Column) -> Column:
+    """Log frequency in each language; ``totals`` are what was counted in each, ``items`` how many different ones there are."""
+    every = sum(totals[1:], totals[0]).cast("double")
+    cells = [F.coalesce(F.try_divide(F.col("counts")[i], total), F.lit(0.0)) + F.lit(smooth) / every for i, total in enumerate(totals)]
+    return F.array(*[F.log(c / (1 + smooth * items / every)) for c in cells]).cast("array<double>").alias("scores")
 
 
-def train(labelled: DataFrame, lexicon: int = 50_000, smooth: float = 0.5, text: str = "text", lang: str = "lang") -> LanguageModel:
+def train(labelled: DataFrame, lexicon: int = 50_000, smooth: float = 0.1, text: str = "text", lang: str = "lang") -> LanguageModel:
     """Learn from every row with a text and a language."""
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    counted = stage(rows.mapInArrow(_counted, _COUNTS).groupBy("lang", "item").agg(F.sum("n").alias("n")), "language-words")
-    parts = stage(counted.mapInArrow(_grams_counted, _COUNTS).groupBy("lang", "item").agg(F.sum("n").alias("n")), "language-grams")
-    totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    languages = sorted(totals)
     order = F.length("item")
-    sized = {(r["lang"], r["k"]): r["n"] for r in parts.groupBy("lang", order.alias("k")).agg(F.sum("n").alias("n")).collect()}
-    all_words, all_grams = _by_item(counted, languages, "language-lexicon"), _by_item(parts, languages, "language-gram-lexicon")
-    n_words = all_words.count()
+    with stage_scope(labelled.sparkSession) as scope:
+        counted = stage(rows.mapInArrow(_counted, _COUNTS).groupBy("lang", "item").agg(F.sum("n").alias("n")), "language-words")
+        totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+        languages = sorted(totals)
+        all_words = scope.keep(_by_item(counted, languages, "language-lexicon"))
+        parts = stage(counted.mapInArrow(_grams_counted, _COUNTS).groupBy("lang", "item").agg(F.sum("n").alias("n")), "language-grams")
+        sized = {(r["lang"], r["k"]): r["n"] for r in parts.groupBy("lang", order.alias("k")).agg(F.sum("n").alias("n")).collect()}
+        all_grams = scope.keep(_by_item(parts, languages, "language-gram-lexicon"))
+    if not languages:
+        return LanguageModel([], {}, np.zeros((0, 0)), all_words, all_grams, [all_words.staged_path, all_grams.staged_path])
     n_grams = {r["k"]: r["count"] for r in all_grams.groupBy(order.alias("k")).count().collect()}
-    word_table = all_words.select("item", "total", _scores(smooth, [F.lit(totals[x] + smooth * n_words) for x in languages]))
+    word_table = all_words.select("item", "total", _scores(smooth, [F.lit(totals[x]) for x in languages], F.lit(all_words.count())))
     # Each order of n-grams is a distribution of its own.
-    of_order = [F.array(*[F.lit(float(sized.get((x, k), 0) + smooth * n_grams.get(k, 0))) for k in range(1, LONGEST + 1)])[order - 1] for x in languages]
-    gram_table = all_grams.select("item", _scores(smooth, of_order))
+    by_order = range(1, LONGEST + 1)
+    of_order = [F.array(*[F.lit(sized.get((x, k), 0)) for k in by_order])[order - 1] for x in languages]
+    gram_table = all_grams.select("item", _scores(smooth, of_order, F.array(*[F.lit(n_grams.get(k, 0)) for k in by_order])[order - 1]))
     top = word_table.orderBy(F.desc("total"), "item").limit(lexicon).collect()
     log_words = np.array([r["scores"] for r in top], dtype=float).reshape(len(top), len(languages))
-    return LanguageModel(languages, {r["item"]: i for i, r in enumerate(top)}, log_words, word_table.drop("total"), gram_table)
+    paths = [all_words.staged_path, all_grams.staged_path]
+    return LanguageModel(languages, {r["item"]: i for i, r in enumerate(top)}, log_words, word_table.drop("total"), gram_table, paths)
 
 
 _PARTIAL = "digest binary, letters boolean, n bigint, sums array<double>, rest array<struct<item: string, times: bigint>>"
 
 
 def _judged_texts(texts: DataFrame, model: LanguageModel, certain_words: int) -> DataFrame:
-    """(digest, lang_pred, score) of the distinct texts among (digest, text) rows."""
+    """(digest, lang_pred, score) of the distinct texts among (digest, text) rows, without language if there is no letter. Only
+    words that tasks do not hold, and sums, move between tasks."""
     shared = texts.sparkSession.sparkContext.broadcast((model.words, model.log_words))
     arrow = pa.schema([("digest", pa.binary()), ("letters", pa.bool_()), ("n", pa.int64()), ("sums", pa.list_(pa.float64())),
                        ("rest", pa.list_(pa.struct([("item", pa.string()), ("times", pa.int64())])))])
@@ -167,20 +186,32 @@ def _judged_texts(texts: DataFrame, model: LanguageModel, certain_words: int) ->
             columns = [batch.column("digest"), letters, sizes, sums, rest]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    partial = stage(texts.mapInArrow(summed, _PARTIAL).dropDuplicates(["digest"]), "language-sums")
-    pairs = partial.select("digest", F.inline("rest"))
-    asked = stage(pairs.select("item").distinct().join(model.word_table, "item", "left"), "language-asked")
-    unseen = model.unseen(asked.where("scores IS NULL").select("item"))
-    scores = stage(asked.where("scores IS NOT NULL").unionByName(unseen), "language-scores")
-    n = len(model.languages)
-    added = pairs.join(scores, "item").groupBy("digest").agg(F.array(*[F.sum(F.col("times") * F.col("scores")[i]) for i in range(n)]).alias("added"))
-    mean = F.array(*[(F.col("sums")[i] + F.coalesce(F.col("added")[i], F.lit(0.0))) / F.col("n") for i in range(n)])
-    sure = F.transform(mean, lambda x: x * F.least(F.col("n"), F.lit(certain_words)))
-    judged = partial.where("letters").join(added, "digest", "left").select("digest", sure.alias("v"))
-    total = F.aggregate(F.transform("v", lambda x: F.exp(x - F.array_max("v"))), F.lit(0.0), lambda a, x: a + x)
-    names = F.array(*[F.lit(x) for x in model.languages])
-    best = F.element_at(names, F.array_position("v", F.array_max("v")).cast("int"))
-    return stage(judged.select("digest", best.alias("lang_pred"), (1 / total).alias("score")), "language-judged")
+    with stage_scope(texts.sparkSession) as scope:
+        partial = stage(texts.mapInArrow(summed, _PARTIAL).withColumn("row", F.monotonically_increasing_id()), "language-sums")
+        pairs = partial.select("row", F.inline("rest"))
+        asked = stage(pairs.select("item").distinct().join(model.word_table, "item", "left"), "language-asked")
+        unseen = model.unseen(asked.where("scores IS NULL").select("item"))
+        scores = stage(asked.where("scores IS NOT NULL").unionByName(unseen), "language-scores")
+        scope.drop(asked)
+        n = len(model.languages)
+        added = pairs.join(scores, "item").groupBy("row").agg(F.array(*[F.sum(F.col("times") * F.col("scores")[i]) for i in range(n)]).alias("added"))
+        mean = F.array(*[(F.col("sums")[i] + F.coalesce(F.col("added")[i], F.lit(0.0))) / F.col("n") for i in range(n)])
+        sure = F.when(F.col("letters"), F.transform(mean, lambda x: x * F.least(F.col("n"), F.lit(certain_words))))
+        judged = partial.select("row", "digest", "letters", "n", "sums").join(added, "row", "left").select("digest", sure.alias("v"))
+        total = F.aggregate(F.transform("v", lambda x: F.exp(x - F.array_max("v"))), F.lit(0.0), lambda a, x: a + x)
+        names = F.array(*[F.lit(x) for x in model.languages])
+        best = F.when(F.col("v").isNotNull(), F.element_at(names, F.array_position("v", F.array_max("v")).cast("int")))
+        one = judged.groupBy("digest").agg(F.min(F.struct(best.alias("lang_pred"), (1 / total).alias("score"))).alias("r"))
+        return scope.keep(stage(one.select("digest", "r.*"), "language-judged"))
+
+
+def _digest(text: str) -> Column:
+    return F.unhex(F.md5(F.col(f"`{text}`").cast("binary")))
+
+
+def _judged(docs: DataFrame, model: LanguageModel, text: str, certain_words: int) -> DataFrame:
+    texts = docs.select(_digest(text).alias("digest"), F.col(f"`{text}`").alias("text")).where("text IS NOT NULL")
+    return _judged_texts(texts, model, certain_words).withColumnsRenamed({"digest": "_key", "lang_pred": "_lang", "score": "_score"})
 
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text", certain_words: int = 10) -> DataFrame:
@@ -189,11 +220,22 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", certain_w
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
     if not model.languages:
         return docs.select(*kept, F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
-    digest = F.unhex(F.md5(F.col(f"`{text}`").cast("binary")))
-    texts = docs.select(digest.alias("digest"), F.col(f"`{text}`").alias("text")).where("text IS NOT NULL")
-    judged = _judged_texts(texts, model, certain_words).withColumnsRenamed({"digest": "_digest", "lang_pred": "_lang", "score": "_score"})
+    judged = _judged(docs, model, text, certain_words)
     name, score = F.coalesce("_lang", F.lit(UNDETERMINED)), F.coalesce("_score", F.lit(0.0))
-    return docs.join(judged, digest == F.col("_digest"), "left").select(*kept, name.alias("lang_pred"), score.alias("score"))
+    # The digest is a column of its own, so the text takes no part in the join unless the caller reads it.
+    joined = join_checked(docs.select(*kept, _digest(text).alias("_digest")), judged, F.expr("_digest = _key"), "left")
+    return joined.select(*kept, name.alias("lang_pred"), score.alias("score"))
+
+
+def confident(docs: DataFrame, model: LanguageModel, min_score: float, text: str = "text", certain_words: int = 10,
+              max_rejected: int = 2_000_000) -> DataFrame:
+    """The rows of ``docs`` that predict() gives a language with at least ``min_score``. Rejected texts are few, so up to
+    ``max_rejected`` digests of 16 bytes go to the rows; only beyond that do rows go to the digests."""
+    if not model.languages:
+        return docs.where("false")
+    rejected = _judged(docs, model, text, certain_words).where(F.col("_lang").isNull() | (F.col("_score") < min_score)).select("_key")
+    given = docs.where(F.col(f"`{text}`").isNotNull()).withColumn("_digest", _digest(text))
+    return join_checked(given, rejected, F.expr("_digest = _key"), "left_anti", max_rejected).drop("_digest")
 
 
 def held_out(doc_id: Column, fold: int = 5, rest: int = 0) -> Column:

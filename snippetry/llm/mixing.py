@@ -103,32 +103,33 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, per
         weight: Column | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Every document with size, source_size, target, copies and taken (size * copies). ``weight`` (of the column size and
     the document's own columns) makes some documents of a source likelier than others; the default, the square root of the
-    size, is the classic probability that grows with size."""
+    size, is the classic probability that grows with size. A null weight counts as 0: such a document is never drawn."""
     weight = F.sqrt("size") if weight is None else weight
     key = F.xxhash64(F.lit(seed + 1), F.col(doc_id), F.col(text))
     kept = [c for c in docs.columns if c not in PLANNED]
     sized = docs.select(*[F.col(f"`{c}`") for c in kept], words(text).alias("size")).withColumn("key", key)
     if source != "source":
         sized = sized.withColumn("source", F.col(source))
-    small = stage(sized.select("source", "size", "key", F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).alias("draw")), "mix-sizes")
+    sized = sized.withColumn("_chance", F.coalesce(weight.cast("double"), F.lit(0.0)))
+    small = stage(sized.select("source", "size", "key", "_chance", F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).alias("draw")), "mix-sizes")
     goal = stage(targets(small, weights, percent, cap), "mix-targets")
-    means = stage(small.groupBy("source").agg(F.try_divide(F.sum(F.col("size") * weight), F.sum("size")).alias("_mean")), "mix-means")
+    means = stage(small.groupBy("source").agg(F.try_divide(F.sum(F.col("size") * F.col("_chance")), F.sum("size")).alias("_mean")), "mix-means")
     plan = goal.join(means.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    cut = stage(_cut(_with_rank(_with_source(small, plan), weight)), "mix-last")
+    cut = stage(_cut(_with_rank(_with_source(small, plan))), "mix-last")
     plan = stage(_with_source(plan, cut), "mix-plan")
     drawn = sized.withColumn("draw", F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)))
-    ranked = _with_rank(_with_source(drawn, plan), weight)
+    ranked = _with_rank(_with_source(drawn, plan))
     chosen = (F.col("rank") < F.col("cut_rank")) | ((F.col("rank") == F.col("cut_rank")) & (F.col("key") <= F.col("cut_key")))
     copies = F.col("certain") + F.coalesce(chosen.cast("bigint"), F.lit(0))
     out = ranked.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(F.floor(F.col("certain"))))
     return out.select(*[F.col(f"`{c}`") for c in kept], "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-def _with_rank(joined: DataFrame, weight: Column) -> DataFrame:
+def _with_rank(joined: DataFrame) -> DataFrame:
     """Adds certain copies and the Pareto rank as a number in [0, 1), null for documents that can't be sampled."""
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     u = (F.shiftrightunsigned("draw", 11).cast("double") + 0.5) / float(1 << 53)
-    p = F.least(F.try_divide((ratio - F.floor(ratio)) * weight, F.col("_mean")), F.lit(1 - 1e-9))
+    p = F.least(F.try_divide((ratio - F.floor(ratio)) * F.col("_chance"), F.col("_mean")), F.lit(1 - 1e-9))
     odds = (u / (1 - u)) / (p / (1 - p))
     joined = joined.withColumn("certain", F.floor(ratio))
     return joined.withColumn("rank", F.when((ratio > F.floor(ratio)) & (F.col("size") > 0) & (p > 0), odds / (1 + odds)))

@@ -49,6 +49,7 @@ def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     model = language_id.train(documents.where(~language_id.held_out(F.col("doc_id"))))
     predicted = language_id.predict(documents.select("doc_id", "text"), model)
+    model.drop()
     return predicted.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import zlib
 from collections import Counter
+from functools import cache
+
+import numpy as np
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, size bigint, key bigint, node bigint, score double, rows int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -91,3 +95,54 @@ def brute_repeats(texts: list[str | None], length: int) -> list[tuple]:
 
 def in_training(doc_id: int, fold: int, rest: int) -> bool:
     return zlib.crc32(str(doc_id).encode()) % fold != rest
+
+
+LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def brute_language(labelled, smooth=0.1, longest=4, certain=10):
+    """A function from text to (language, score), learned from (text, lang) pairs; None for no letter."""
+
+    def pieces(word, n):
+        marked = f"^{word}$" if n > 1 else word
+        return [marked[i : i + n] for i in range(len(marked) - n + 1)]
+
+    seen, parts = {}, {}
+    for t, lang in labelled:
+        if t is not None and lang is not None:
+            seen.setdefault(lang, Counter()).update(LETTERS.findall(t.lower()))
+    seen = {lang: c for lang, c in seen.items() if c}
+    for lang, c in seen.items():
+        for word, times in c.items():
+            for n in range(1, longest + 1):
+                for g in pieces(word, n):
+                    parts.setdefault((lang, n), Counter())[g] += times
+    names = sorted(seen)
+    by_size = [[seen[x] for x in names]] + [[parts.get((x, n), Counter()) for x in names] for n in range(1, longest + 1)]
+    counted = [([sum(c.values()) for c in tables], len(set().union(*tables))) for tables in by_size]
+
+    def logs(item, n):
+        tables, (totals, kinds) = by_size[n], counted[n]
+        every = sum(totals)
+        shares = [(c[item] / n if n else 0) + smooth / every for c, n in zip(tables, totals)]
+        return np.array([math.log(s / (1 + smooth * kinds / every)) for s in shares])
+
+    @cache
+    def word_score(word):
+        if any(word in c for c in seen.values()):
+            return logs(word, 0)
+        for n in range(longest, 0, -1):
+            known = [g for g in pieces(word, n) if any(g in t for t in by_size[n])]
+            if known:
+                return sum(logs(g, n) for g in known) / len(known)
+        return np.zeros(len(names))
+
+    def judge(t):
+        found = LETTERS.findall((t or "").lower())
+        if not any(c.isalpha() for w in found for c in w) or not names:
+            return None
+        v = sum(word_score(w) for w in found) / len(found) * min(len(found), certain)
+        e = np.exp(v - v.max())
+        return names[int(np.argmax(v))], float(1 / e.sum())
+
+    return judge

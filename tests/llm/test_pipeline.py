@@ -1,3 +1,4 @@
+import os
 import re
 import zlib
 
@@ -26,9 +27,10 @@ def test_stages_by_brute_force(spark, folder):
         if len(by_stage) < len(corpus_pipeline.STAGES):
             assert docs.columns == names
     known, single, clean, mixed, tokens = by_stage
-    # All given documents are in one language.
     given = spark.read.parquet(f"{folder}/documents.parquet").collect()
-    assert {r["doc_id"] for r in known} == {r["doc_id"] for r in given if any(c.isalpha() for c in r["text"])}
+    judge = fx.brute_language([(r["text"], r["lang"]) for r in given])
+    judged = {r["doc_id"]: judge(r["text"]) for r in given}
+    assert {r["doc_id"] for r in known} == {d for d, j in judged.items() if j and j[1] >= corpus_pipeline.MIN_SCORE}
     roots = fx.brute_components([(r["doc_id"], r["text"]) for r in known], 5, 80)
     assert sorted(r["doc_id"] for r in single) == sorted(set(roots))
     windows = set()
@@ -52,6 +54,14 @@ def test_run_equals_the_stages_on_the_given_table(spark, folder):
     assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and got.count() > 0
 
 
+def test_a_finished_stage_leaves_only_its_output(spark, folder):
+    docs = stage(corpus_pipeline.identify_language(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder), "kept-output")
+    first = list(corpus_pipeline._last[-1].paths)
+    assert first and all(os.path.isdir(p.removeprefix("file:")) for p in first)
+    after = stage(corpus_pipeline.join_near_copies(spark, docs, folder), "kept-output")
+    assert not any(os.path.isdir(p.removeprefix("file:")) for p in first) and after.count() > 0
+
+
 def test_odd_and_empty_documents_pass_all_stages(spark, folder):
     for docs in (fx.documents(spark), fx.documents(spark).where("false")):
         for name, apply in corpus_pipeline.STAGES:

@@ -237,11 +237,39 @@ def test_language_of_rare_words_and_copies(spark):
     docs = spark.createDataFrame([(1, "cc dd cc"), (2, "cc dd cc"), (2, "cc dd cc"), (None, "bb"), (3, None)], "doc_id bigint, text string")
     got = language_id.predict(docs, model).collect()
     assert sorted(r["lang_pred"] for r in got) == ["de", "en", "en", "en", "und"]
-    # By hand: 4 words, 36 running ones in de and 3 in en, smoothed by 0.5.
-    de, en = (2 * np.log(0.5 / 38) + np.log(0.5 / 38)), (2 * np.log(2.5 / 5) + np.log(1.5 / 5))
+    # By hand: 36 running words in de and 3 in en; each language's share of a word, and 0.1 of 39 on top.
+    top = 0.1 / 39
+    de, en = 3 * np.log(top), 2 * np.log(2 / 3 + top) + np.log(1 / 3 + top)
     assert all(abs(r["score"] - 1 / (1 + np.exp(de - en))) < 1e-9 for r in got if r["lang_pred"] == "en")
 
 
+def test_language_scores_by_restatement(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    seen = [(r["text"], r["lang"]) for r in docs if fx.in_training(r["doc_id"], 5, 0)]
+    # Another language with little text, with words that back off to each order of n-grams.
+    seen += [("zażółć gęślą jaźń", "pl"), ("łódź jest", "pl"), (None, "pl"), ("x", None)]
+    asked = [r["text"] for r in docs] + ["gęślami", "zaz", "ł", "жук", "ł жук", "123", "", None, "jest " * 40]
+    judge = fx.brute_language(seen)
+    for lexicon in (5, 50_000):
+        model = language_id.train(spark.createDataFrame(seen, "text string, lang string"), lexicon=lexicon)
+        got = language_id.predict(fx.of_texts(spark, asked), model).collect()
+        kept = {r["doc_id"] for r in language_id.confident(fx.of_texts(spark, asked), model, 0.9).collect()}
+        assert len(got) == len(asked)
+        for r in got:
+            name, score = judge(asked[r["doc_id"]]) or ("und", 0.0)
+            assert r["lang_pred"] == name and abs(r["score"] - score) < 1e-9
+            assert (r["doc_id"] in kept) == (score >= 0.9)
+        model.drop()
+
+
+def test_a_language_without_a_word_never_beats_the_only_one_with_it(spark):
+    large = [("alpha beta gamma " * 50 + f"only{i:c}", "big") for i in range(97, 123)]
+    model = language_id.train(spark.createDataFrame(large + [("delta rare", "small"), ("epsilon", "tiny")], "text string, lang string"))
+    alone = ["alpha", "delta", "epsilon"] + [f"only{i:c}" for i in range(97, 123)]
+    got = {r["text"]: r["lang_pred"] for r in language_id.predict(fx.of_texts(spark, alone), model).collect()}
+    assert got == {w: "small" if w == "delta" else "tiny" if w == "epsilon" else "big" for w in alone}
+
+
 def test_cased_tokenizer_files_keep_case(spark, tmp_path):
     cased = Tokenizer(models.WordLevel({"[UNK]": 0, "A": 2, "a": 3}, unk_token="[UNK]"))
     cased.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
