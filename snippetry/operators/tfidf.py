@@ -1,12 +1,12 @@
 """Character n-gram TF-IDF.
 
-Corpus counts: every position yields one piece of up to the longest length; pieces are counted with
-map-side combining and only then cut into their prefixes, so a quarter of the n-grams is ever
-exploded. Only the selected vocabulary (at most max_features rows) reaches the driver.
+Corpus counts: every position yields one window of up to the longest length; tasks count windows as
+they read, Spark adds them up and only then cuts them into their prefixes, so a quarter of the n-grams
+is ever moved. Only the selected vocabulary (at most max_features rows) reaches the driver.
 
-Vectors are row-local: the vocabulary travels to the tasks inside a CountVectorizerModel, so a
-document's n-grams never shuffle. Rows are exploded with the outer variants, which keep Spark from
-repeating the generator's input in an inferred filter.
+Vectors are row-local: the vocabulary travels to the tasks inside a GramCounter, so a document's
+n-grams never shuffle, and long texts are counted piece by piece. Rows are exploded with the outer
+variants, which keep Spark from repeating the generator's input in an inferred filter.
 """
 
 from __future__ import annotations
@@ -14,11 +14,12 @@ from __future__ import annotations
 import math
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, SQLTransformer
+from pyspark.ml.feature import ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, functions as F
 
 from snippetry.operators.bounded import join_checked
+from snippetry.operators.gram_counting import LONG_TEXT, GramCounter, row_gram_counts, window_counts
 from snippetry.schemas import VOCABULARY
 from snippetry.session import stage
 
@@ -44,25 +45,28 @@ def char_grams(text: Column | str, ngram_range: tuple[int, int] = (3, 6)) -> Col
     return F.concat(*[grams_of_length(F.lower(text), n) for n in range(low, high + 1)])
 
 
-def _counted(df: DataFrame, keys: list[str], text: str, ngram_range: tuple[int, int], out: str) -> DataFrame:
+def gram_counts(df: DataFrame, id_col: str, text: str, ngram_range: tuple[int, int] = (3, 6)) -> DataFrame:
+    """(id, gram, tf) in long form for unique ids. Rows are counted where they lie; only texts beyond LONG_TEXT characters go
+    through window counts and a shuffle, as their n-grams need not fit a task."""
     low, high = ngram_range
-    windows = F.regexp_extract_all(F.lower(F.col(text)), F.lit(window_pattern(low, high)), F.lit(1))
-    pieces = df.select(*keys, F.explode_outer(windows).alias("_piece")).where(F.col("_piece").isNotNull())
-    counted = pieces.groupBy(*keys, "_piece").agg(F.count("*").alias("_n"))
-    size = F.length("_piece")
-    prefixes = F.array(*[F.when(size >= n, F.left("_piece", F.lit(n))) for n in range(low, high + 1)])
-    grams = counted.select(*keys, F.explode_outer(prefixes).alias("gram"), "_n").where(F.col("gram").isNotNull())
-    return grams.groupBy(*keys, "gram").agg(F.sum("_n").alias(out))
+    long = F.coalesce(F.length(text), F.lit(0)) > LONG_TEXT
+    short = row_gram_counts(df.where(~long), id_col, text, low, high).select(F.col("id").alias(id_col), "gram", F.col("n").alias("tf"))
+    counted = window_counts(df.where(long), text, low, high, id_col).groupBy("id", "window").agg(F.sum("n").alias("n"))
+    grams = counted.select(F.col("id").alias(id_col), _prefixes(low, high), "n").where(F.col("gram").isNotNull())
+    return short.unionByName(grams.groupBy(id_col, "gram").agg(F.sum("n").alias("tf")))
 
 
-def gram_counts(df: DataFrame, id_col: str, text: str, ngram_range: tuple[int, int] = (3, 6)) -> DataFrame:
-    """(id, gram, tf) in long form. Vectors do not need it; it shuffles every distinct pair."""
-    return _counted(df, [id_col], text, ngram_range, "tf")
+def _prefixes(low: int, high: int) -> Column:
+    size = F.length("window")
+    return F.explode_outer(F.array(*[F.when(size >= n, F.left("window", F.lit(n))) for n in range(low, high + 1)])).alias("gram")
 
 
 def corpus_counts(df: DataFrame, text: str, ngram_range: tuple[int, int] = (3, 6)) -> DataFrame:
     """(gram, cf): corpus term counts."""
-    return _counted(df, [], text, ngram_range, "cf")
+    low, high = ngram_range
+    counted = window_counts(df, text, low, high).groupBy("window").agg(F.sum("n").alias("n"))
+    grams = counted.select(_prefixes(low, high), "n").where(F.col("gram").isNotNull())
+    return grams.groupBy("gram").agg(F.sum("n").alias("cf"))
 
 
 def top_grams(counts: DataFrame, k: int) -> DataFrame:
@@ -106,7 +110,7 @@ class CharTfidf:
         prepared = PipelineModel(head or []).transform(train)
         chosen = self.select(prepared.select(self.text))
         counting = count_stages([gram for gram, _ in chosen], self.text, self.ngram_range)
-        rows = PipelineModel(counting).transform(prepared).drop("_grams").withMetadata("_tf", {})
+        rows = PipelineModel(counting).transform(prepared)
         rows = stage(rows, "gram-vectors")
         n_docs = rows.count()
         held = rows.select(F.explode_outer(F.unwrap_udt("_tf")["indices"]).alias("idx")).where(F.col("idx").isNotNull())
@@ -121,13 +125,9 @@ class CharTfidf:
 
 
 def count_stages(grams: list[str], text: str, ngram_range: tuple[int, int]) -> list:
-    """Persistable stages: n-grams, then their counts over the vocabulary."""
+    """Persistable stages: counts over the vocabulary."""
     low, high = ngram_range
-    pieces = ", ".join(f"regexp_extract_all(lower(`{text}`), r'{window_pattern(n)}', 1)" for n in range(low, high + 1))
-    return [
-        SQLTransformer(statement=f"SELECT *, concat({pieces}) AS _grams FROM __THIS__"),
-        CountVectorizerModel.from_vocabulary(grams, inputCol="_grams", outputCol="_tf"),
-    ]
+    return [GramCounter(inputCol=text, outputCol="_tf", vocabulary=grams, low=low, high=high)]
 
 
 class CharTfidfModel:
@@ -161,7 +161,7 @@ class CharTfidfModel:
     def transform(self, df: DataFrame, out: str = "tfidf") -> DataFrame:
         """Append the normalised sparse vector; grams outside the vocabulary are ignored and a row
         without any known gram keeps an empty vector."""
-        return PipelineModel(self.stages(out)).transform(df).drop("_grams", "_tf", "_tfidf_raw")
+        return PipelineModel(self.stages(out)).transform(df).drop("_tf", "_tfidf_raw")
 
     def weights(self, df: DataFrame, id_col: str, extra: list[str] | None = None) -> DataFrame:
         """(id, gram, tf, weight) in long form, from text or from rows already counted."""

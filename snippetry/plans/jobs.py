@@ -30,8 +30,8 @@ def build_tfidf(corpus: DataFrame, code: str = "code", ngram_range: tuple[int, i
     require_columns(corpus, code, "label", "split")
     cleaned = corpus.select("snippet_id", "split", "label", collapse_whitespace(code).alias("code_clean"))
     model, train = CharTfidf("code_clean", ngram_range, max_features).fit_counted(cleaned.where("split = 'train'"))
-    rest = PipelineModel(model.count_stages()).transform(cleaned.where("NOT (split <=> 'train')")).drop("_grams")
-    rows = train.unionByName(rest.withMetadata("_tf", {}))
+    rest = PipelineModel(model.count_stages()).transform(cleaned.where("NOT (split <=> 'train')"))
+    rows = train.unionByName(rest)
     vectors = PipelineModel(model.weight_stages("tfidf")).transform(rows)
     return model, vectors.select("snippet_id", "split", "label", "tfidf")
 
