@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from snippetry.checks.registry import query, r6, rounded
 from snippetry.checks.sql_text import (
-    COLLAPSED, LINE_COLUMNS, SNIPPETS, SPLIT, all_features, grams, line_stats, templates, tree_columns, vocabulary,
+    COLLAPSED, LINE_COLUMNS, SNIPPETS, SPLIT, STORED_SPLIT, all_features, grams, line_stats, templates, tree_columns, vocabulary,
 )
 from snippetry.functions.lines import INDENT_STATS, LINE_STATS, with_line_stats
 from snippetry.functions.syntax import IDENTIFIERS, IMPORTS, SHAPE
@@ -21,7 +21,7 @@ from snippetry.operators.tfidf import CharTfidf, char_grams, corpus_counts, gram
 from snippetry.plans.jobs import build_code_features as code_features_job
 from snippetry.plans.training import fit_features
 from snippetry.sources.corpus import spread
-from snippetry.sources.tables import labelled_snippets, labels, snippets, table, template_snippets
+from snippetry.sources.tables import labelled_snippets, labels, snippets, stored_snippets, table, template_snippets
 
 LINE_FEATURES = [*LINE_STATS, *INDENT_STATS]
 VOCABULARY_SIZE = WEIGHTS_VOCABULARY = 50_000  # the operator's max_features
@@ -258,10 +258,7 @@ def align_columns(spark, folder):
 
 
 def _stacked(spark, folder, text):
-    rows = split_corpus(labelled_snippets(spark, folder))
-    if text == "stored":
-        stored = table(spark, folder, "embeddings").select(F.col("vec_id").alias("snippet_id"), "embedding")
-        rows = rows.join(stored, "snippet_id")
+    rows = split_corpus(stored_snippets(spark, folder) if text == "stored" else labelled_snippets(spark, folder))
     fitted = fit_features(rows.where("split = 'train'"), text, LINE_FEATURES, WEIGHTS_VOCABULARY)
     return fitted, PipelineModel(fitted.stages).transform(rows)
 
@@ -293,7 +290,7 @@ def _halves(rows, at, name):
     )
 
 
-@query(f"""WITH {SPLIT}, joined AS (SELECT s.*, e.embedding FROM splitted s JOIN embeddings e ON s.snippet_id = e.vec_id),
+@query(f"""WITH {STORED_SPLIT}, joined AS (SELECT s.*, e.embedding FROM splitted s JOIN embeddings e ON s.snippet_id = e.vec_id),
 {line_stats("joined")},
 stats AS (SELECT joined.snippet_id, split, embedding, {", ".join("line_stats." + c for c in LINE_COLUMNS)}
     FROM joined JOIN line_stats ON joined.snippet_id = line_stats.snippet_id), {_fit_sql()}

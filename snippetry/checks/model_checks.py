@@ -10,20 +10,21 @@ from snippetry.checks.sql_text import LABELLED, LINE_COLUMNS, SNIPPETS, SPLIT, l
 from snippetry.functions.decisions import complement, correctness, decide
 from snippetry.functions.lines import with_line_stats
 from snippetry.operators.evaluation import classification_report, confusion_matrix, report_averages, roc_auc
-from snippetry.operators.labels import LabelIndex, class_weights, positive_weight
+from snippetry.operators.labels import LabelIndex, LabelTable, class_weights, positive_weight
 from snippetry.operators.splitting import split_corpus
 from snippetry.plans import scoring, training
 from snippetry.plans.scoring import linear_score
 from snippetry.plans.search import search_lr as run_search
 from snippetry.session import staging_path, stage
-from snippetry.sources.tables import HUMAN, MACHINE, labelled_snippets, labels, snippets, table
+from snippetry.sources.sinks import metrics_record
+from snippetry.sources.tables import HUMAN, labelled_snippets, labels, snippets, stored_snippets, table
 from snippetry.streaming.score_stream import snippet_stream, start_scoring
 
 
 @query("SELECT DISTINCT source AS label, CAST(dense_rank() OVER (ORDER BY source) - 1 AS DOUBLE) AS label_idx FROM documents")
 def label_index(spark, folder):
     rows = snippets(spark, folder).withColumnRenamed("task_name", "label")
-    return LabelIndex.fit(rows).encode(rows).select("label", "label_idx").distinct()
+    return LabelTable.fit(rows).encode(rows.select("label")).distinct()
 
 
 @query(f"WITH {LABELLED} SELECT snippet_id, CASE WHEN length(code) % 2 = 1 THEN 'Human_written' ELSE 'AI_generated' END AS decoded FROM labelled")
@@ -150,17 +151,27 @@ def report_averages_(spark, folder):
     return rounded(report_averages(classification_report(_matrix(spark, folder))), "precision", "recall", "f1")
 
 
+@query(f"""WITH {REPORT}, rows AS (
+SELECT label AS name, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS idx, precision, recall, f1, support FROM report
+UNION ALL SELECT 'accuracy', NULL, sum(recall * support) / sum(support), sum(recall * support) / sum(support),
+    sum(recall * support) / sum(support), CAST(sum(support) AS BIGINT) FROM report
+UNION ALL SELECT 'macro avg', NULL, avg(precision), avg(recall), avg(f1), CAST(sum(support) AS BIGINT) FROM report
+UNION ALL SELECT 'weighted avg', NULL, sum(precision * support) / sum(support), sum(recall * support) / sum(support),
+    sum(f1 * support) / sum(support), CAST(sum(support) AS BIGINT) FROM report)
+SELECT name, idx, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM rows""", name="metrics_record")
+def metrics_record_(spark, folder):
+    """Report and averages as one run's record holds them."""
+    classes = LabelIndex.fit(_decided(spark, folder)).classes
+    matrix = _matrix(spark, folder)
+    record = metrics_record(spark, None, classification_report(matrix), matrix, classes)
+    report = record.select(F.inline("report")).withColumnsRenamed({"label": "name", "label_idx": "idx"})
+    averages = record.select(F.inline("averages")).withColumnRenamed("average", "name").withColumn("idx", F.lit(None).cast("int"))
+    return rounded(report.unionByName(averages), "precision", "recall", "f1")
+
+
 def _parts(spark, folder, stored: bool = False):
-    """Splits of the labelled documents, or of all stored vectors with the parity of their own label. No table has the code of
-    stored vectors, so it is NULL and their engineered features are those of an empty text."""
-    if stored:
-        name = F.when(F.col("label") % 2 == 1, F.lit(HUMAN)).otherwise(F.lit(MACHINE))
-        rows = table(spark, folder, "embeddings").select(
-            F.col("vec_id").alias("snippet_id"), F.lit(None).cast("string").alias("code"), "embedding", name.alias("label")
-        )
-    else:
-        rows = labelled_snippets(spark, folder)
-    rows = split_corpus(rows)
+    """Splits of the labelled documents, or of all stored vectors."""
+    rows = split_corpus(stored_snippets(spark, folder) if stored else labelled_snippets(spark, folder))
     return {s: rows.where(F.col("split") == s).drop("split") for s in ("train", "validation", "test")}
 
 
@@ -190,10 +201,13 @@ def train_gbt_embed(spark, folder):
 
 @query()
 def train_mlp(spark, folder):
-    """Validation AUC per round."""
+    """Validation AUC per round, the round kept, and the test rows' AUC and accuracy with it."""
     parts = _parts(spark, folder, stored=True)
     trained = training.train_mlp(parts["train"], parts["validation"], text="stored")
-    return spark.createDataFrame(trained.curve, "epoch int, auc double")
+    tested = scoring.evaluate(trained, parts["test"], "mlp").first()
+    accuracy = next(a["f1"] for a in tested["averages"] if a["average"] == "accuracy")
+    rows = [(epoch, auc, epoch == trained.rounds, tested["auc"], accuracy) for epoch, auc in trained.curve]
+    return spark.createDataFrame(rows, "epoch int, auc double, kept boolean, test_auc double, test_accuracy double")
 
 
 @query()
@@ -218,14 +232,14 @@ def score_lr(spark, folder):
 @query()
 def score_gbt_tfidf(spark, folder):
     parts = _parts(spark, folder)
-    return scoring.score(training.train_gbt_tfidf(parts["train"]), snippets(spark, folder), "gbt_tfidf")
+    return scoring.score(training.train_gbt_tfidf(parts["train"], parts["validation"]), snippets(spark, folder), "gbt_tfidf")
 
 
 @query()
 def score_gbt_embed(spark, folder):
     """Embeddings encoded from the text on both sides."""
     parts = _parts(spark, folder)
-    trained = training.train_gbt_embedding(parts["train"])
+    trained = training.train_gbt_embedding(parts["train"], parts["validation"])
     return scoring.score(trained, snippets(spark, folder), "gbt_embedding")
 
 
@@ -245,5 +259,5 @@ def score_stream(spark, folder):
         F.col("doc_id").alias("snippet_id"), F.col("text").alias("code"), F.col("source").alias("task_name")
     )
     sink = staging_path(spark, "stream-scores")
-    start_scoring(trained, arriving, sink, staging_path(spark, "stream-state")).awaitTermination()
+    start_scoring(trained, arriving, sink, staging_path(spark, "stream-state"), both=True).awaitTermination()
     return spark.read.parquet(sink)

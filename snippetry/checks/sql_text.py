@@ -58,6 +58,12 @@ splitted AS (SELECT snippet_id, code, label, task_name, CASE WHEN rn <= ceil(cei
     WHEN rn <= ceil(n * 0.2) THEN 'validation' ELSE 'train' END AS split FROM ranked)"""
 
 
+# The same split over all stored vectors, each with the document of its number.
+STORED_SPLIT = SPLIT.replace(LABELLED, """labelled AS (
+  SELECT e.vec_id AS snippet_id, d.text AS code, CASE WHEN e.label % 2 = 1 THEN 'Human_written' ELSE 'AI_generated' END AS label,
+         CAST(NULL AS VARCHAR) AS task_name FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id)""")
+
+
 def vocabulary(k: int, source: str = "train") -> str:
     """CTEs from train(snippet_id, code) to vocab(gram, cf, df, idx, idf) of the k most frequent grams."""
     return f"""{grams(source)},

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import IndexToString, StringIndexerModel
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from snippetry.operators.bounded import collect_classes
+from snippetry.operators.bounded import collect_classes, join_checked
+from snippetry.session import stage
 
 
 class LabelIndex:
@@ -48,6 +49,40 @@ class LabelIndex:
         return F.array(*[F.lit(c) for c in self.classes])[idx.cast("int")]
 
 
+class LabelTable:
+    """Sorted classes -> 0..k-1 as a table, for label columns of any number of values; nothing is collected."""
+
+    def __init__(self, table: DataFrame):
+        self.table = table
+
+    @staticmethod
+    def fit(df: DataFrame, label: str = "label") -> "LabelTable":
+        """Distinct values are dealt into ranges and numbered inside their range; the sizes of the ranges before give the rest."""
+        values = df.select(F.col(label).alias("label")).where("label IS NOT NULL").distinct()
+        dealt = values.repartitionByRange("label").withColumn("range", F.spark_partition_id())
+        dealt = stage(dealt, "label-ranges")
+        sizes = dealt.groupBy("range").agg(F.count("*").alias("n"))
+        # One row a range, so the window over all of them is small.
+        before = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+        inside = F.row_number().over(Window.partitionBy("range").orderBy("label")) - 1
+        placed = dealt.withColumn("at", inside).join(F.broadcast(before), "range")
+        return LabelTable(stage(placed.select("label", (F.col("before") + F.col("at")).cast("double").alias("label_idx")), "label-index"))
+
+    def encode(self, df: DataFrame, label: str = "label", out: str = "label_idx") -> DataFrame:
+        """Rows with the index of their label; an unseen or null label is an error."""
+        known = self.table.select(F.col("label").alias("_label"), F.col("label_idx").alias("_idx"))
+        unseen = F.raise_error(F.concat(F.lit("unknown label: "), F.coalesce(F.col(f"`{label}`").cast("string"), F.lit("NULL"))))
+        joined = join_checked(df, known, F.col(f"`{label}`") == F.col("_label"), "left")
+        kept = [F.col(f"`{c}`") for c in df.columns if c != out]
+        return joined.select(*kept, F.when(F.col("_idx").isNotNull(), F.col("_idx")).otherwise(unseen.cast("double")).alias(out))
+
+    def decode(self, df: DataFrame, idx: str, out: str) -> DataFrame:
+        """Rows with the label of an index, null for one that no label has."""
+        known = self.table.select(F.col("label").alias("_label"), F.col("label_idx").alias("_idx"))
+        joined = join_checked(df, known, F.col(f"`{idx}`").cast("double") == F.col("_idx"), "left")
+        return joined.select(*[F.col(f"`{c}`") for c in df.columns if c != out], F.col("_label").alias(out))
+
+
 def positive_weight(df: DataFrame, idx: str = "label_idx") -> DataFrame:
     """One row (pos, neg, scale_pos_weight = neg / max(pos, 1), clamped = max(neg, 1) / max(pos, 1))."""
     counts = df.agg(

@@ -10,9 +10,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 from importlib import import_module
 
-from pyspark import StorageLevel, keyword_only
+from pyspark import SparkContext, StorageLevel, keyword_only
 from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -74,6 +74,7 @@ class Trained:
     tfidf: CharTfidfModel | None = None
     rounds: int | None = None
     curve: list[tuple[int, float]] | None = None
+    grammar: str | None = None
 
 
 @dataclass
@@ -139,6 +140,16 @@ def fit_features(train: DataFrame, text: str = "tfidf", dense: list[str] = FEATU
     return FittedFeatures(head, tail, prepared, scaler, tfidf)
 
 
+def packed(rows: DataFrame, dense: bool = False, part_bytes: int = 64 << 20) -> DataFrame:
+    """``rows`` in as few partitions as hold ``part_bytes`` of features each: learners run many short jobs over the same rows,
+    and each task of them costs more than it computes if the rows are few. Never more partitions than there were. ``dense``
+    counts four bytes for every feature, as trees bin all of them."""
+    parts = F.unwrap_udt("features")
+    size = F.coalesce(parts["size"], F.size(parts["values"])) * 4 if dense else F.size(parts["values"]) * 12
+    held = rows.agg(F.sum(size.cast("bigint") + 64).alias("held")).first()["held"] or 0
+    return rows.coalesce(max(1, -(-held // part_bytes)))
+
+
 def train_lr(train: DataFrame, c: float = 10.0, tol: float = 3e-3, max_iter: int = 1000, balanced: bool = True,
              **features) -> Trained:
     """L2 logistic regression. The penalty 1/(C * sum of weights) gives the same objective as a
@@ -149,7 +160,7 @@ def train_lr(train: DataFrame, c: float = 10.0, tol: float = 3e-3, max_iter: int
     sizes = {r["label"]: r for r in class_weights(fitted.prepared).collect()}
     weights = {k: (r["weight"] if balanced else 1.0) for k, r in sizes.items()}
     total = sum(r["n"] * weights[k] for k, r in sizes.items())
-    data = rows.withColumn("weight", weight_column(weights, "label")).persist(StorageLevel.MEMORY_AND_DISK)
+    data = packed(rows.withColumn("weight", weight_column(weights, "label"))).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         model = LogisticRegression(
             featuresCol="features", labelCol="label_idx", weightCol="weight", elasticNetParam=0.0,
@@ -196,12 +207,41 @@ def best_prefix(model, rows: DataFrame, patience: int) -> tuple[int, list[tuple[
     return best, curve
 
 
+def tree_prefix(model: GBTClassificationModel, trees: int) -> GBTClassificationModel:
+    """The ensemble of the first ``trees`` trees of a fitted one, with its columns and settings; nothing is fitted."""
+    sc = SparkContext.getOrCreate()
+    fitted, own = model._java_obj.trees(), sc._jvm.org.apache.spark.ml
+    taken = sc._gateway.new_array(own.regression.DecisionTreeRegressionModel, trees)
+    weights = sc._gateway.new_array(sc._jvm.double, trees)
+    for i in range(trees):
+        taken[i], weights[i] = fitted[i], float(model.treeWeights[i])
+    cut = GBTClassificationModel(own.classification.GBTClassificationModel(f"{model.uid}_first_{trees}", taken, weights))
+    return model._copyValues(cut)
+
+
+def fit_until_best(learner: GBTClassifier, data: DataFrame, held: DataFrame, patience: int) -> tuple[GBTClassificationModel, int, list[tuple[int, float]]]:
+    """(model of the prefix with the highest validation AUC, its number of trees, AUC per number of trees).
+
+    Boosting adds trees to those it has, and the seed of a tree follows from its number, so fewer rounds give the first trees of
+    more rounds. The first fit has half as many rounds again as the patience, which is where an ensemble that stops gaining early
+    is found out; only one that still gains there is fitted to all rounds. Either way the model is cut, not fitted again.
+    """
+    rounds = learner.getMaxIter()
+    first = min(rounds, patience + patience // 2)
+    model = learner.copy({learner.maxIter: first}).fit(data)
+    chosen, curve = best_prefix(model, held, patience)
+    if first < rounds and len(curve) == first and first - chosen < patience:
+        model = learner.fit(data)
+        chosen, curve = best_prefix(model, held, patience)
+    return (model if chosen == len(model.treeWeights) else tree_prefix(model, chosen)), chosen, curve
+
+
 def train_gbt(train: DataFrame, validation: DataFrame | None = None, text: str = "tfidf", rounds: int = 300,
               learning_rate: float = 0.1, depth: int = 4, subsample: float = 0.8, column_share: float = 0.5,
               max_bins: int = 32, patience: int = 50, weighting: str = "none", seed: int = 42, **features) -> Trained:
     """Boosted trees on TF-IDF or embedding features stacked with the dense ones. ``weighting`` is
     "none" or "positive" (negatives per positive on class 1). With validation rows the ensemble is
-    refitted to the tree count of highest validation AUC."""
+    cut to the tree count of highest validation AUC."""
     labels = LabelIndex.fit(train).require_two()
     fitted = fit_features(train, text, **features)
     rows = fitted.training_rows(labels)
@@ -209,19 +249,18 @@ def train_gbt(train: DataFrame, validation: DataFrame | None = None, text: str =
     if weighting == "positive":
         ratio = positive_weight(rows).first()["clamped_weight"]
         weight = F.when(F.col("label_idx") == 1, F.lit(ratio)).otherwise(F.lit(1.0))
-    data = rows.withColumn("weight", weight).persist(StorageLevel.MEMORY_AND_DISK)
+    data = packed(rows.withColumn("weight", weight), dense=True).persist(StorageLevel.MEMORY_AND_DISK)
     learner = GBTClassifier(
         featuresCol="features", labelCol="label_idx", weightCol="weight", maxIter=rounds, stepSize=learning_rate,
         maxDepth=depth, subsamplingRate=subsample, featureSubsetStrategy=str(column_share), maxBins=max_bins, seed=seed,
     )
     chosen, curve = rounds, None
     try:
-        model = learner.fit(data)
-        if validation is not None:
-            held = stage(fitted.rows(validation, labels), "validation-features")
-            chosen, curve = best_prefix(model, held, patience)
-            if chosen < rounds:
-                model = learner.copy({learner.maxIter: chosen}).fit(data)
+        if validation is None:
+            model = learner.fit(data)
+        else:
+            held = stage(packed(fitted.rows(validation, labels)), "validation-features")
+            model, chosen, curve = fit_until_best(learner, data, held, patience)
     finally:
         data.unpersist()
     return Trained(PipelineModel([*fitted.stages, model]), labels, fitted.scaler, fitted.tfidf, chosen, curve)
@@ -242,7 +281,7 @@ def train_mlp(train: DataFrame, validation: DataFrame, hidden: tuple[int, int] =
     validation AUC is kept."""
     labels = LabelIndex.fit(train).require_two()
     fitted = fit_features(train, text, dense=[], **features)
-    data = fitted.training_rows(labels).persist(StorageLevel.MEMORY_AND_DISK)
+    data = packed(fitted.training_rows(labels)).persist(StorageLevel.MEMORY_AND_DISK)
     width = embedding_dim(fitted.prepared)
     best, best_auc, weights, curve = None, float("-inf"), None, []
     try:

@@ -32,6 +32,15 @@ def labelled_snippets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def stored_snippets(spark: SparkSession, folder: str) -> DataFrame:
+    """(snippet_id, code, label, embedding) of every stored vector. Its label is the parity of the vector's own; its code is the
+    document with the same number, as no table says which text a vector encodes, and NULL where there is none."""
+    name = F.when(F.col("label") % 2 == 1, F.lit(HUMAN)).otherwise(F.lit(MACHINE))
+    vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("snippet_id"), name.alias("label"), "embedding")
+    texts = table(spark, folder, "documents").select(F.col("doc_id").alias("snippet_id"), F.col("text").alias("code"))
+    return vectors.join(texts, "snippet_id", "left").select("snippet_id", "code", "label", "embedding")
+
+
 def perturbed_snippets(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with blank, tabbed and trailing-blank lines, CR / CRLF breaks and exotic blanks."""
     text = F.replace(F.col("code"), F.lit(". "), F.lit(".\n\n\t  "))

@@ -18,9 +18,9 @@ def snippet_stream(spark: SparkSession, path: str, schema: T.StructType, files_p
 
 
 def start_scoring(trained: Trained, stream: DataFrame, sink: str, checkpoint: str, family: str = "lr",
-                  available_now: bool = True) -> StreamingQuery:
+                  available_now: bool = True, **options) -> StreamingQuery:
     """Stateless: each micro-batch is scored on its own and appended to a Parquet sink; the checkpoint
-    makes a restart continue where the last committed batch ended."""
-    writer = score(trained, stream, family).writeStream.format("parquet").outputMode("append")
+    makes a restart continue where the last committed batch ended. ``options`` are those of score()."""
+    writer = score(trained, stream, family, **options).writeStream.format("parquet").outputMode("append")
     writer = writer.option("path", sink).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -11,7 +11,7 @@ from snippetry.checks.registry import QUERIES
 from snippetry.operators.splitting import split_corpus
 from snippetry.plans import jobs, training
 from snippetry.plans.scoring import evaluate, score
-from snippetry.plans.search import search_lr, search_space
+from snippetry.plans.search import search_best, search_space
 from snippetry.sources.corpus import read_csv, read_json, require_columns, with_content_id
 from snippetry.sources.sinks import load_model, save_model, write_csv, write_features, write_metrics
 from snippetry.sources.tables import HUMAN, MACHINE
@@ -45,13 +45,15 @@ def test_lr_separates_and_reports(lr, parts):
     row = evaluate(lr, parts[2], "lr").first()
     assert row["auc"] == 1.0 and row["classes"] == [MACHINE, HUMAN]
     assert sum(map(sum, row["cm"])) == parts[2].count()
-    assert [r["label"] for r in row["report"]] == row["classes"] and row["run_date"] == datetime.date.today()
+    assert [(r["label"], r["label_idx"]) for r in row["report"]] == [(c, i) for i, c in enumerate(row["classes"])]
+    assert [(a["average"], a["f1"]) for a in row["averages"]] == [(n, 1.0) for n in ("accuracy", "macro avg", "weighted avg")] and row["run_date"] == datetime.date.today()
 
 
 def test_scores_columns_and_threshold(lr, parts):
     rows = score(lr, parts[2], "lr")
     assert rows.columns == ["snippet_id", "task_name", "pred_label", "prob_human", "true_label", "correct"]
     assert all((r["prob_human"] >= 0.5) == (r["pred_label"] == HUMAN) for r in rows.collect())
+    assert all(r["prob_human"] + r["prob_other"] == 1 for r in score(lr, parts[2], "lr", both=True).collect())
     assert score(lr, parts[2].drop("label", "task_name"), "lr").columns == ["snippet_id", "pred_label", "prob_human"]
     assert score(lr, parts[2], "lr", clean="rstrip").count() == parts[2].count()
     with pytest.raises(KeyError):
@@ -62,8 +64,14 @@ def test_scores_columns_and_threshold(lr, parts):
 
 def test_save_and_load_give_the_same_scores(spark, lr, parts):
     path = tempfile.mkdtemp(prefix="snippetry-model-")
-    save_model(lr, path)
+    save_model(spark, lr, path)
     again = load_model(spark, path)
+    twice = tempfile.mkdtemp(prefix="snippetry-model-")
+    save_model(spark, again, twice)
+    for name in ("labels", "scaler", "vocabulary", "state"):
+        first, second = (sorted(map(str, spark.read.parquet(f"{p}/{name}").collect())) for p in (path, twice))
+        assert first == second and first
+    assert again.scaler.table == lr.scaler.table and again.tfidf.table == lr.tfidf.table and again.tfidf.n_docs == lr.tfidf.n_docs
     a = score(lr, parts[2], "lr").orderBy("snippet_id").collect()
     assert a == score(again, parts[2], "lr").orderBy("snippet_id").collect()
     assert spark.read.parquet(f"{path}/scaler").count() == 44 and spark.read.parquet(f"{path}/vocabulary").count() == 100
@@ -104,6 +112,39 @@ def test_early_stop_curve_matches_model_margins(parts):
         assert curve[-1][1] == pytest.approx(whole)
 
 
+def test_fewer_rounds_give_the_first_trees_of_more(parts):
+    small, large = (training.train_gbt_tfidf(parts[0], None, rounds=n, depth=2, max_features=30).pipeline.stages[-1] for n in (2, 5))
+    assert [t.toDebugString for t in small.trees] and small.treeWeights == large.treeWeights[:2]
+    bodies = [[t.toDebugString.split("\n", 1)[1] for t in m.trees] for m in (small, large)]
+    assert bodies[0] == bodies[1][:2]
+
+
+def test_a_cut_ensemble_scores_as_its_curve_says(spark, parts):
+    """On labels that trees cannot learn at once: the cut model's AUC is the curve's at its number of trees, also when loaded."""
+    from pyspark.ml.functions import vector_to_array
+
+    from snippetry.operators.evaluation import auc_value
+
+    mixed = [p.withColumn("label", F.when(F.xxhash64("snippet_id") % 4 == 0, MACHINE).otherwise(F.col("label"))) for p in parts]
+    trained = training.train_gbt_tfidf(mixed[0], mixed[1], rounds=12, patience=4, depth=2, max_features=40)
+    model = trained.pipeline.stages[-1]
+    assert len(model.trees) == len(model.treeWeights) == trained.rounds < 12
+    rows = trained.labels.encode(mixed[1])
+    whole = auc_value(trained.pipeline.transform(rows).withColumn("p", vector_to_array("probability")[1]), "p", "label_idx")
+    assert whole == pytest.approx(dict(trained.curve)[trained.rounds])
+    path = tempfile.mkdtemp(prefix="snippetry-cut-")
+    save_model(spark, trained, path)
+    again = load_model(spark, path)
+    assert again.rounds == trained.rounds and again.curve == [tuple(p) for p in trained.curve]
+    assert score(again, parts[2], "gbt_tfidf").collect() == score(trained, parts[2], "gbt_tfidf").collect()
+
+
+def test_few_rows_are_packed(parts):
+    rows = training.fit_features(parts[0], max_features=50).training_rows(training.LabelIndex.fit(parts[0])).repartition(9)
+    assert training.packed(rows).rdd.getNumPartitions() == 1
+    assert training.packed(rows, part_bytes=4000).rdd.getNumPartitions() == 9
+
+
 def test_embedding_families(parts):
     gbt = training.train_gbt_embedding(parts[0], rounds=2, depth=2)
     assert "prob_positive" in score(gbt, parts[2], "gbt_embedding").columns
@@ -115,7 +156,11 @@ def test_embedding_families(parts):
 def test_search(parts):
     assert len(search_space()) == len(set(search_space())) == 200
     assert search_space()[0][0] == pytest.approx(0.1) and search_space()[-1][0] == pytest.approx(10)
-    board = search_lr(parts[0], draws=2, folds=2, max_iter=10, max_features=20).collect()
+    board, best = search_best(parts[0], draws=2, folds=2, max_iter=10, max_features=20)
+    board = board.collect()
+    learner = best.pipeline.stages[-1]
+    assert learner.getTol() == board[0]["tol"] and learner.getWeightCol() == f"w_{board[0]['weighting']}"
+    assert evaluate(best, parts[2], "lr").first()["auc"] == 1.0
     assert [r["rank"] for r in board] == [1, 2] and board[0]["mean_auc"] >= board[1]["mean_auc"]
 
 

@@ -178,3 +178,27 @@ def test_training_takes_exactly_two_classes():
     for classes in (["a"], ["a", "b", "c"]):
         with pytest.raises(ValueError, match="exactly two"):
             LabelIndex(classes).require_two()
+
+
+def test_label_table_numbers_any_number_of_classes(spark):
+    from snippetry.operators.labels import LabelTable
+
+    names = F.concat(F.lit("c"), F.lpad(F.col("id").cast("string"), 7, "0"))
+    rows = spark.range(1_000_000).select(names.alias("label"), F.col("id"))
+    index = LabelTable.fit(rows)
+    assert index.table.count() == 1_000_000
+    assert index.table.where("label_idx <> CAST(substr(label, 2) AS DOUBLE)").count() == 0
+    some = rows.where("id % 1000 = 7").withColumn("label_idx", F.lit("old"))
+    back = index.decode(index.encode(some), "label_idx", "again")
+    assert back.count() == 1000 and back.where("NOT (label <=> again) OR label_idx <> id").count() == 0
+
+
+def test_label_table_refuses_unseen_labels(spark):
+    from snippetry.operators.labels import LabelTable
+
+    index = LabelTable.fit(spark.createDataFrame([("b",), ("a",), (None,), ("a",)], "label string"))
+    assert sorted(map(tuple, index.table.collect())) == [("a", 0.0), ("b", 1.0)]
+    for wrong in ("c", None):
+        with pytest.raises(Exception, match="unknown label"):
+            index.encode(spark.createDataFrame([("a",), (wrong,)], "label string")).collect()
+    assert index.encode(spark.createDataFrame([], "label string")).count() == 0
