@@ -75,7 +75,8 @@ class LanguageModel:
         marked = F.concat(F.lit("^"), F.col("item"), F.lit("$"))
         sizes = [F.struct(F.lit(n).alias("k"), _pieces(marked if n > 1 else F.col("item"), n).alias("pieces")) for n in range(1, LONGEST + 1)]
         sized = items.select("item", F.inline(F.array(*sizes))).select("item", "k", F.explode("pieces").alias("gram"))
-        known = sized.join(self.gram_table.withColumnRenamed("item", "gram"), "gram")
+        # Distinct n-grams of up to four letters are few beside the words; if they are, no piece of a word moves to look one up.
+        known = join_checked(sized, self.gram_table.withColumnRenamed("item", "gram"), "gram")
         mean = F.array(*[F.avg(F.col("scores")[i]) for i in range(len(self.languages))])
         longest = known.groupBy("item", "k").agg(mean.alias("scores")).groupBy("item").agg(F.max_by("scores", "k").alias("scores"))
         zeros = F.array(*[F.lit(0.0)] * len(self.languages))
