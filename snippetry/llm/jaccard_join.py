@@ -6,6 +6,11 @@ most D shingles, so if each is dealt by hash into more than D groups, at least o
 count and hash sum are its block. (A set is also dealt by the class of the smallest set that it may be linked to. A set with so few
 full groups that only empty ones may agree deals out those too.) Blocks hold near copies and hardly anything else.
 
+Nearly all blocks have one member. Keys therefore travel packed: a task deals out up to ``CHUNK`` of them at a time, sorts them and sends
+11 bytes or so a key to buckets of the key space, where those that two sets share are found. A chunk sends no more than two
+members of a key there; its others need not be met again, as the key is known to be shared, and leave beside the buckets. So a block that
+a third of all sets share adds two entries a chunk to its bucket. Blocks are neither staged nor carried along with the sets.
+
 In a first round every member of a block is compared with the block's smallest node: that is linear in the block, and most
 blocks are connected by it. In the second, only blocks that still hold several components are looked at. A block of at most
 ``LEAF`` members gives the pairs between components, by an R-tree of its points if it would fill more than one box. A pair
@@ -28,15 +33,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from snippetry.llm import count_tree
 from snippetry.llm.common import Ids, blank_words, mixed, raw, same_key, text_key
 from snippetry.llm.graph import connected
-from snippetry.session import stage
+from snippetry.session import stage, stage_scope
 
 LEAF = 256
-_SETS = "doc_id bigint, text_hash bigint, n bigint, digest binary, point binary, blocks array<bigint>, undealt bigint"
+# Keys that a task deals out at a time, and shingles of all sets to a bucket.
+CHUNK = 1 << 20
+BUCKET = 1 << 20
+_KEY_BYTES = 6
+_SETS = "doc_id bigint, text_hash bigint, n bigint, digest binary"
 
 
 def word_hashes(texts: list[list[bytes]]) -> list[np.ndarray]:
@@ -112,41 +122,120 @@ class Blocks:
         return np.concatenate(out), undealt
 
 
-def sets(docs: DataFrame, shingle: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row a document: key, set size, digest of the set, its point and its blocks."""
+def sets(docs: DataFrame, shingle: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row a document: key, set size and digest of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = Blocks(percent)
         for batch in batches:
             for piece in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                rows = []
-                for words in word_hashes([blank_words(t) for t in raw(piece, "text")]):
-                    own = shingle_set(words, shingle)
-                    dealt, undealt = blocks.of(own)
-                    rows.append((
-                        len(own), xxhash.xxh3_128_digest(own.tobytes()), count_tree.point(own).astype("<u4").tobytes(), dealt.view(np.int64), undealt,
-                    ))
-                kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int64()]
-                columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), piece.column("text_hash"), *columns], ["doc_id", "text_hash", "n", "digest", "point", "blocks", "undealt"]
-                )
+                found = [shingle_set(w, shingle) for w in word_hashes([blank_words(t) for t in raw(piece, "text")])]
+                sizes = pa.array([len(own) for own in found], pa.int64())
+                digests = pa.array([xxhash.xxh3_128_digest(own.tobytes()) for own in found], pa.binary())
+                columns = [piece.column("doc_id"), piece.column("text_hash"), sizes, digests]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n", "digest"])
 
     source = docs.select(*text_key(doc_id, text), F.col(text).alias("text")).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     return source.mapInArrow(run, _SETS)
 
 
-def _hashes_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(node, hashes) of ``wanted`` (node, doc_id, text_hash), from the texts."""
+def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of ``nodes`` (node, doc_id, text_hash). A row of ``docs`` that is repeated whole gives its node again."""
+    return docs.join(nodes, same_key(docs, nodes)).select("node", "text")
+
+
+def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(node, n, hashes, point, undealt) of ``wanted`` (node, doc_id, text_hash), from the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = Blocks(percent)
         for batch in batches:
-            found = [shingle_set(w, shingle).tobytes() for w in word_hashes([blank_words(t) for t in raw(batch, "text")])]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], ["node", "hashes"])
+            for piece in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+                found = [shingle_set(w, shingle) for w in word_hashes([blank_words(t) for t in raw(piece, "text")])]
+                yield pa.RecordBatch.from_arrays([
+                    piece.column("node"), pa.array([len(own) for own in found], pa.int64()), pa.array([own.tobytes() for own in found], pa.binary()),
+                    pa.array([count_tree.point(own).astype("<u4").tobytes() for own in found], pa.binary()), pa.array([blocks.of(own)[1] for own in found], pa.int64()),
+                ], ["node", "n", "hashes", "point", "undealt"])
 
-    texts = docs.join(wanted, same_key(docs, wanted)).select("node", "text")
     # Rows repeated with the same id and text give the same set.
-    return texts.mapInArrow(run, "node bigint, hashes binary").dropDuplicates(["node"])
+    found = _texts_of(docs, wanted).mapInArrow(run, "node bigint, n bigint, hashes binary, point binary, undealt bigint")
+    return found.dropDuplicates(["node"])
+
+
+def _packed(numbers: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of each number."""
+    return numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _unpacked(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return out.view("<u8").ravel().astype(np.int64)
+
+
+def _ordered(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (key, node) by key, then node, and where each key begins."""
+    order = np.lexsort((nodes, keys))
+    keys, nodes = keys[order], nodes[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
+    keys, nodes = keys[new], nodes[new]
+    return keys, nodes, np.flatnonzero(np.concatenate([np.ones(len(keys[:1]), bool), keys[1:] != keys[:-1]]))
+
+
+def shared_blocks(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int, chunk: int | None = None, bucket: int | None = None) -> DataFrame:
+    """(key, node) of every block that two nodes or more share, with rows that may repeat. A key is 48 bits of a block: where two
+    blocks happen to have the same, a pair more is looked at."""
+    most = chunk or CHUNK
+    buckets = -(-(nodes.agg(F.sum("n")).first()[0] or 1) // (bucket or BUCKET))
+    kinds = "bucket bigint, width int, keys binary, nodes binary"
+
+    def cells(keys: np.ndarray, nodes: np.ndarray, beside: int) -> Iterator[pa.RecordBatch]:
+        keys, nodes, starts = _ordered(keys, nodes)
+        if not len(keys):
+            return
+        place = np.arange(len(keys)) - np.repeat(starts, np.diff(np.append(starts, len(keys))))
+        width = max(1, -(-int(nodes.max()).bit_length() // 8))
+        home = np.where(place < 2, keys % buckets, beside)
+        order = np.argsort(home, kind="stable")
+        keys, nodes, home = keys[order], nodes[order], home[order]
+        cuts = np.flatnonzero(np.append(True, home[1:] != home[:-1]))
+        ends = np.append(cuts[1:], len(home))
+        rows = [(int(home[i]), width, _packed(keys[i:j], _KEY_BYTES), _packed(nodes[i:j], width)) for i, j in zip(cuts.tolist(), ends.tolist())]
+        types = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+        for i in range(0, len(rows), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 10_000]), types)], ["bucket", "width", "keys", "nodes"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, held, of, size, number = Blocks(percent), [], [], 0, 0
+        # Members that leave beside the buckets have a number below zero of their task and chunk.
+        first = -1 - (TaskContext.get().partitionId() << 32)
+        for batch in batches:
+            for piece in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+                found = word_hashes([blank_words(t) for t in raw(piece, "text")])
+                for node, words in zip(piece.column("node").to_pylist(), found):
+                    dealt = (blocks.of(shingle_set(words, shingle))[0] >> np.uint64(64 - 8 * _KEY_BYTES)).view(np.int64)
+                    held.append(dealt)
+                    of.append(np.full(len(dealt), node, np.int64))
+                    size += len(dealt)
+                    if size >= most:
+                        yield from cells(np.concatenate(held), np.concatenate(of), first - number)
+                        held, of, size, number = [], [], 0, number + 1
+        if held:
+            yield from cells(np.concatenate(held), np.concatenate(of), first - number)
+
+    def meet(table: pa.Table) -> pa.Table:
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("width", "keys", "nodes"))))
+        keys = np.concatenate([_unpacked(k, _KEY_BYTES) for _, k, _ in rows])
+        nodes = np.concatenate([_unpacked(n, w) for w, _, n in rows])
+        if table.column("bucket")[0].as_py() >= 0:
+            keys, nodes, starts = _ordered(keys, nodes)
+            members = np.diff(np.append(starts, len(keys)))
+            kept = np.repeat(members > 1, members)
+            keys, nodes = keys[kept], nodes[kept]
+        return pa.table([pa.array(keys), pa.array(nodes)], names=["key", "node"])
+
+    packed = _texts_of(docs, nodes.select("node", "doc_id", "text_hash")).mapInArrow(deal, kinds)
+    return packed.groupBy("bucket").applyInArrow(meet, "key bigint, node bigint")
 
 
 def _verified(pairs: DataFrame, hashes: DataFrame, points: DataFrame, percent: int) -> DataFrame:
@@ -254,15 +343,20 @@ def _leaf_joined(members: DataFrame, hashes: DataFrame, points: DataFrame, perce
 
 
 def links(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int, leaf: int = LEAF, few: int = count_tree.FAN_OUT) -> DataFrame:
-    """(a, b) links between ``nodes`` (node, doc_id, text_hash, n, point, blocks, undealt) that connect all whose sets are similar enough."""
-    dealt = nodes.select("node", F.explode("blocks").alias("key"))
-    shared = dealt.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("pivot"), F.max("node").alias("last"))
-    shared = shared.where("members > 1")
-    members = stage(dealt.join(shared.select("key", "pivot", "members"), "key"), "block-members")
+    """(a, b) links between ``nodes`` (node, doc_id, text_hash, n) that connect all whose sets are similar enough."""
+    with stage_scope(docs.sparkSession) as scope:
+        return scope.keep(_links(docs, nodes, shingle, percent, leaf, few))
+
+
+def _links(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int, leaf: int, few: int) -> DataFrame:
+    dealt = stage(shared_blocks(docs, nodes, shingle, percent), "shared-blocks")
+    shared = dealt.groupBy("key").agg(F.min("node").alias("pivot"))
+    members = stage(dealt.distinct().join(shared, "key"), "block-members")
     pairs = stage(members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pivot-pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = stage(nodes.join(wanted, "node").select("node", "doc_id", "text_hash", "n", "point", "undealt"), "candidates")
-    hashes = stage(_hashes_of(docs, wanted.select("node", "doc_id", "text_hash"), shingle), "candidate-sets")
+    wanted = stage(nodes.join(wanted, "node").select("node", "doc_id", "text_hash"), "candidates")
+    found = stage(_sets_of(docs, wanted, shingle, percent), "candidate-sets")
+    hashes, wanted = found.select("node", "hashes"), found.select("node", "n", "point", "undealt")
     first = stage(_verified(pairs, hashes, wanted, percent), "pivot-links")
     roots = connected(first)
     # The pivot has been compared with all. Blocks whose other members are of several components yet are left; of blocks with the
@@ -284,12 +378,11 @@ def components(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str
     """(doc_id, text_hash, n_shingles, root, component_id), one row a document. component_id is the smallest id of the documents
     that links reach; root numbers the component (null without words)."""
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
-    rows = stage(sets(source, shingle, percent), "shingle-sets")
+    rows = stage(sets(source, shingle), "shingle-sets")
     grouped = rows.where("n > 0").groupBy("digest").agg(
-        F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("key"), F.first("n").alias("n"), F.first("point").alias("point"),
-        F.first("blocks").alias("blocks"), F.first("undealt").alias("undealt"),
-    )
-    nodes = stage(grouped.select(F.monotonically_increasing_id().alias("node"), "digest", "least", "key.doc_id", "key.text_hash", "n", "point", "blocks", "undealt"), "set-nodes")
+        F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("key"), F.first("n").alias("n")
+    )
+    nodes = stage(grouped.select(F.monotonically_increasing_id().alias("node"), "digest", "least", "key.doc_id", "key.text_hash", "n"), "set-nodes")
     roots = connected(links(source, nodes, shingle, percent))
     placed = nodes.select("node", "digest", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = stage(placed, "placed-nodes")
