@@ -6,10 +6,11 @@ most D shingles, so if each is dealt by hash into more than D groups, at least o
 count and hash sum are its block. (A set is also dealt by the class of the smallest set that it may be linked to. A set with so few
 full groups that only empty ones may agree deals out those too.) Blocks hold near copies and hardly anything else.
 
-Nearly all blocks have one member. Keys therefore travel packed: a task deals out up to ``CHUNK`` of them at a time, sorts them and sends
-11 bytes or so a key to buckets of the key space, where those that two sets share are found. A chunk sends no more than two
-members of a key there; its others need not be met again, as the key is known to be shared, and leave beside the buckets. So a block that
-a third of all sets share adds two entries a chunk to its bucket. Blocks are neither staged nor carried along with the sets.
+Nearly all blocks have one member. Keys therefore travel packed: a task deals out up to ``CHUNK`` of them at a time where it reads the
+texts, sorts them and sends 13 bytes a key to buckets of the key space, where those that two sets share are found. A set goes by the
+start of its digest there, so copies are one member. A chunk sends no more than two members of a key to the bucket; its others need not be
+met again, as the key is known to be shared, and leave beside the buckets. So a block that a third of all sets share adds two entries a
+chunk to its bucket. Blocks are neither staged nor carried along with the sets, and texts are not moved for them.
 
 In a first round every member of a block is compared with the block's smallest node: that is linear in the block, and most
 blocks are connected by it. In the second, only blocks that still hold several components are looked at. A block of at most
@@ -34,11 +35,12 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from snippetry.llm import count_tree
 from snippetry.llm.common import Ids, blank_words, mixed, raw, same_key, text_key
 from snippetry.llm.graph import connected
+from snippetry.operators.bounded import join_checked
 from snippetry.session import stage, stage_scope
 
 LEAF = 256
@@ -46,6 +48,7 @@ LEAF = 256
 CHUNK = 1 << 20
 BUCKET = 1 << 20
 _KEY_BYTES = 6
+_SHORT_BYTES = 7
 _SETS = "doc_id bigint, text_hash bigint, n bigint, digest binary"
 
 
@@ -139,8 +142,9 @@ def sets(docs: DataFrame, shingle: int, doc_id: str = "doc_id", text: str = "tex
 
 
 def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, text) of ``nodes`` (node, doc_id, text_hash). A row of ``docs`` that is repeated whole gives its node again."""
-    return docs.join(nodes, same_key(docs, nodes)).select("node", "text")
+    """(node, text) of ``nodes`` (node, doc_id, text_hash). A row of ``docs`` that is repeated whole gives its node again. Texts
+    stay where they are while the nodes are few."""
+    return join_checked(docs, nodes, same_key(docs, nodes)).select("node", "text")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -182,60 +186,69 @@ def _ordered(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys, nodes, np.flatnonzero(np.concatenate([np.ones(len(keys[:1]), bool), keys[1:] != keys[:-1]]))
 
 
-def shared_blocks(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int, chunk: int | None = None, bucket: int | None = None) -> DataFrame:
-    """(key, node) of every block that two nodes or more share, with rows that may repeat. A key is 48 bits of a block: where two
-    blocks happen to have the same, a pair more is looked at."""
+def shared_blocks(docs: DataFrame, shingles: int, shingle: int, percent: int, chunk: int | None = None, bucket: int | None = None) -> DataFrame:
+    """(key, short) of every block that two different sets or more share, with rows that may repeat. ``shingles`` is about how many
+    all sets hold. A key is 48 bits of a block: where two blocks happen to have the same, a pair more is looked at. short is the
+    start of a set's digest."""
     most = chunk or CHUNK
-    buckets = -(-(nodes.agg(F.sum("n")).first()[0] or 1) // (bucket or BUCKET))
-    kinds = "bucket bigint, width int, keys binary, nodes binary"
+    buckets = max(1, -(-shingles // (bucket or BUCKET)))
 
     def cells(keys: np.ndarray, nodes: np.ndarray, beside: int) -> Iterator[pa.RecordBatch]:
         keys, nodes, starts = _ordered(keys, nodes)
         if not len(keys):
             return
         place = np.arange(len(keys)) - np.repeat(starts, np.diff(np.append(starts, len(keys))))
-        width = max(1, -(-int(nodes.max()).bit_length() // 8))
         home = np.where(place < 2, keys % buckets, beside)
         order = np.argsort(home, kind="stable")
         keys, nodes, home = keys[order], nodes[order], home[order]
         cuts = np.flatnonzero(np.append(True, home[1:] != home[:-1]))
         ends = np.append(cuts[1:], len(home))
-        rows = [(int(home[i]), width, _packed(keys[i:j], _KEY_BYTES), _packed(nodes[i:j], width)) for i, j in zip(cuts.tolist(), ends.tolist())]
-        types = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+        rows = [(int(home[i]), _packed(keys[i:j], _KEY_BYTES), _packed(nodes[i:j], _SHORT_BYTES)) for i, j in zip(cuts.tolist(), ends.tolist())]
+        types = [pa.int64(), pa.binary(), pa.binary()]
         for i in range(0, len(rows), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 10_000]), types)], ["bucket", "width", "keys", "nodes"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 10_000]), types)], ["bucket", "keys", "shorts"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks, held, of, size, number = Blocks(percent), [], [], 0, 0
+        blocks, held, size, number = Blocks(percent), {}, 0, 0
         # Members that leave beside the buckets have a number below zero of their task and chunk.
         first = -1 - (TaskContext.get().partitionId() << 32)
+
+        def full() -> Iterator[pa.RecordBatch]:
+            of = np.repeat(np.fromiter(held, np.int64, len(held)), [len(x) for x in held.values()])
+            return cells(np.concatenate(list(held.values())), of, first - number)
+
         for batch in batches:
             for piece in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                found = word_hashes([blank_words(t) for t in raw(piece, "text")])
-                for node, words in zip(piece.column("node").to_pylist(), found):
-                    dealt = (blocks.of(shingle_set(words, shingle))[0] >> np.uint64(64 - 8 * _KEY_BYTES)).view(np.int64)
-                    held.append(dealt)
-                    of.append(np.full(len(dealt), node, np.int64))
-                    size += len(dealt)
+                for words in word_hashes([blank_words(t) for t in raw(piece, "text")]):
+                    own = shingle_set(words, shingle)
+                    short = int.from_bytes(xxhash.xxh3_128_digest(own.tobytes())[:_SHORT_BYTES], "big")
+                    if len(own) < blocks.smallest or short in held:
+                        continue
+                    held[short] = (blocks.of(own)[0] >> np.uint64(64 - 8 * _KEY_BYTES)).view(np.int64)
+                    size += len(held[short])
                     if size >= most:
-                        yield from cells(np.concatenate(held), np.concatenate(of), first - number)
-                        held, of, size, number = [], [], 0, number + 1
+                        yield from full()
+                        held, size, number = {}, 0, number + 1
         if held:
-            yield from cells(np.concatenate(held), np.concatenate(of), first - number)
+            yield from full()
 
     def meet(table: pa.Table) -> pa.Table:
-        rows = list(zip(*(table.column(c).to_pylist() for c in ("width", "keys", "nodes"))))
-        keys = np.concatenate([_unpacked(k, _KEY_BYTES) for _, k, _ in rows])
-        nodes = np.concatenate([_unpacked(n, w) for w, _, n in rows])
+        keys = _unpacked(b"".join(table.column("keys").to_pylist()), _KEY_BYTES)
+        nodes = _unpacked(b"".join(table.column("shorts").to_pylist()), _SHORT_BYTES)
         if table.column("bucket")[0].as_py() >= 0:
             keys, nodes, starts = _ordered(keys, nodes)
             members = np.diff(np.append(starts, len(keys)))
             kept = np.repeat(members > 1, members)
             keys, nodes = keys[kept], nodes[kept]
-        return pa.table([pa.array(keys), pa.array(nodes)], names=["key", "node"])
+        return pa.table([pa.array(keys), pa.array(nodes)], names=["key", "short"])
+
+    packed = docs.select("text").mapInArrow(deal, "bucket bigint, keys binary, shorts binary")
+    return packed.groupBy("bucket").applyInArrow(meet, "key bigint, short bigint")
+
 
-    packed = _texts_of(docs, nodes.select("node", "doc_id", "text_hash")).mapInArrow(deal, kinds)
-    return packed.groupBy("bucket").applyInArrow(meet, "key bigint, node bigint")
+def short_digest(digest: str) -> Column:
+    """The start of a digest as a number."""
+    return F.conv(F.hex(F.substring(digest, 1, _SHORT_BYTES)), 16, 10).cast("bigint")
 
 
 def _verified(pairs: DataFrame, hashes: DataFrame, points: DataFrame, percent: int) -> DataFrame:
@@ -343,15 +356,18 @@ def _leaf_joined(members: DataFrame, hashes: DataFrame, points: DataFrame, perce
 
 
 def links(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int, leaf: int = LEAF, few: int = count_tree.FAN_OUT) -> DataFrame:
-    """(a, b) links between ``nodes`` (node, doc_id, text_hash, n) that connect all whose sets are similar enough."""
+    """(a, b) links between ``nodes`` (node, digest, doc_id, text_hash, n) that connect all whose sets are similar enough."""
     with stage_scope(docs.sparkSession) as scope:
         return scope.keep(_links(docs, nodes, shingle, percent, leaf, few))
 
 
 def _links(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int, leaf: int, few: int) -> DataFrame:
-    dealt = stage(shared_blocks(docs, nodes, shingle, percent), "shared-blocks")
+    shingles = nodes.agg(F.sum("n")).first()[0] or 0
+    dealt = stage(shared_blocks(docs, shingles, shingle, percent).distinct(), "shared-blocks")
+    # Should two sets have the same short digest, both become members.
+    dealt = stage(dealt.join(nodes.select("node", short_digest("digest").alias("short")), "short").select("key", "node"), "block-nodes")
     shared = dealt.groupBy("key").agg(F.min("node").alias("pivot"))
-    members = stage(dealt.distinct().join(shared, "key"), "block-members")
+    members = stage(dealt.join(shared, "key"), "block-members")
     pairs = stage(members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pivot-pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = stage(nodes.join(wanted, "node").select("node", "doc_id", "text_hash"), "candidates")

@@ -61,13 +61,14 @@ def test_shared_blocks_are_all_found(spark, chunk, bucket):
     """Whatever the chunks and buckets, exactly the blocks of two sets or more come back, with all their members."""
     given = list(enumerate(dict.fromkeys(near_groups()[:40])))
     docs = spark.createDataFrame(given + given[:5], "doc_id bigint, text string").selectExpr("doc_id", "text", "xxhash64(text) AS text_hash")
-    nodes = docs.dropDuplicates(["doc_id"]).selectExpr("doc_id AS node", "doc_id", "text_hash", "80L AS n")
-    got = {(r["key"], r["node"]) for r in jaccard_join.shared_blocks(docs, nodes, 3, 90, chunk, bucket).collect()}
+    got = {(r["key"], r["short"]) for r in jaccard_join.shared_blocks(docs, 5_000, 3, 90, chunk, bucket).collect()}
+    rows = jaccard_join.sets(docs, 3).select("doc_id", jaccard_join.short_digest("digest").alias("short")).collect()
+    short = {r["doc_id"]: r["short"] for r in rows}
     blocks, members = jaccard_join.Blocks(90), {}
     for i, text in given:
         (words,) = jaccard_join.word_hashes([text.lower().encode().split()])
         for key in blocks.of(jaccard_join.shingle_set(words, 3))[0] >> np.uint64(16):
-            members.setdefault(int(key), set()).add(i)
+            members.setdefault(int(key), set()).add(short[i])
     assert got == {(key, i) for key, of in members.items() if len(of) > 1 for i in of}
     assert len(got) > 100
 
