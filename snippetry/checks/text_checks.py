@@ -14,6 +14,7 @@ from snippetry.operators import profiling
 from snippetry.operators.splitting import assign_folds, split_corpus
 from snippetry.session import staging_path
 from snippetry.sources.corpus import read_csv
+from snippetry.sources.csv_blocks import read_csv_blocks
 from snippetry.sources.sinks import write_csv
 from snippetry.sources.tables import labelled_snippets, perturbed_snippets, snippets
 from snippetry.schemas import CORPUS
@@ -35,6 +36,14 @@ def csv_roundtrip(spark, folder):
     return read_csv(spark, path, CORPUS)
 
 
+@query("SELECT doc_id AS snippet_id, text AS code, 'x' AS label, source AS task_name FROM documents")
+def csv_blocks_roundtrip(spark, folder):
+    """The same through the reader that cuts files into blocks."""
+    path = staging_path(spark, "csv")
+    write_csv(snippets(spark, folder).select("snippet_id", "code", F.lit("x").alias("label"), "task_name"), path)
+    return read_csv_blocks(spark, path, CORPUS)
+
+
 @query(f"WITH {PERTURBED} SELECT snippet_id, {COLLAPSED} AS code_clean FROM perturbed")
 def clean_collapse_ws(spark, folder):
     return perturbed_snippets(spark, folder).select("snippet_id", collapse_whitespace("code").alias("code_clean"))

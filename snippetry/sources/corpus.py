@@ -33,8 +33,8 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType = CORPUS) ->
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType = CORPUS, na_values: list[str] | None = None) -> DataFrame:
-    """CSV whose cells may span lines. A multi-line file cannot be divided, so large corpora should
-    be many files; Parquet is the default format. Cells in ``na_values`` become null."""
+    """CSV whose cells may span lines. This reader takes a file as a whole; read_csv_blocks() divides
+    files. Parquet is the default format. Cells in ``na_values`` become null."""
     na_values = NA_VALUES if na_values is None else na_values
     df = spark.read.schema(schema).options(multiLine=True, enforceSchema=False, **CSV_CELLS).csv(path)
     text = {f.name for f in schema if isinstance(f.dataType, T.StringType)}
