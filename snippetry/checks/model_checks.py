@@ -18,7 +18,7 @@ from snippetry.plans.search import search_lr as run_search
 from snippetry.session import staging_path, stage
 from snippetry.sources.sinks import metrics_record
 from snippetry.sources.tables import HUMAN, labelled_snippets, labels, snippets, stored_snippets, table
-from snippetry.streaming.score_stream import snippet_stream, start_scoring
+from snippetry.streaming.score_stream import read_scores, snippet_stream, start_scoring, start_scoring_once
 
 
 @query("SELECT DISTINCT source AS label, CAST(dense_rank() OVER (ORDER BY source) - 1 AS DOUBLE) AS label_idx FROM documents")
@@ -261,3 +261,16 @@ def score_stream(spark, folder):
     sink = staging_path(spark, "stream-scores")
     start_scoring(trained, arriving, sink, staging_path(spark, "stream-state"), both=True).awaitTermination()
     return spark.read.parquet(sink)
+
+
+@query()
+def score_stream_once(spark, folder):
+    """The same through the sink that survives replays of a batch."""
+    trained = training.train_lr(_parts(spark, folder)["train"])
+    schema = table(spark, folder, "documents").schema
+    arriving = snippet_stream(spark, f"{folder}/documents*.parquet", schema).select(
+        F.col("doc_id").alias("snippet_id"), F.col("text").alias("code"), F.col("source").alias("task_name")
+    )
+    sink = staging_path(spark, "stream-scores")
+    start_scoring_once(trained, arriving, sink, staging_path(spark, "stream-state"), "v1", both=True).awaitTermination()
+    return read_scores(spark, sink).drop("stream")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -24,3 +26,29 @@ def start_scoring(trained: Trained, stream: DataFrame, sink: str, checkpoint: st
     writer = score(trained, stream, family, **options).writeStream.format("parquet").outputMode("append")
     writer = writer.option("path", sink).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def start_scoring_once(trained: Trained, stream: DataFrame, sink: str, checkpoint: str, version: str, family: str = "lr",
+                       available_now: bool = True, **options) -> StreamingQuery:
+    """Like start_scoring(), for a sink without a log of its own: each batch has its own folder, named by the model's ``version``, the
+    stream and the number of the batch, and is written over whatever an interrupted attempt left there. A batch that is replayed
+    thus gives its rows once. The stream's name is the one its checkpoint keeps, so that a new checkpoint on the same sink adds
+    rows and replaces none. ``version`` may hold letters, digits, ``.``, ``_`` and ``-``.
+    """
+    if not re.fullmatch(r"[A-Za-z0-9._-]+", version):
+        raise ValueError(f"{version!r} cannot name a folder")
+
+    def write(batch: DataFrame, number: int) -> None:
+        name = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        score(trained, batch, family, **options).write.mode("overwrite").parquet(
+            f"{sink}/model_version={version}/stream={name}/batch={number}"
+        )
+
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def read_scores(spark: SparkSession, sink: str) -> DataFrame:
+    """All scores that start_scoring_once() wrote, with model_version, stream and batch as columns."""
+    scores = spark.read.option("mergeSchema", "false").option("basePath", sink).parquet(f"{sink}/model_version=*/stream=*/batch=*")
+    return scores.withColumns({"model_version": F.col("model_version").cast("string"), "batch": F.col("batch").cast("bigint")})

@@ -1,6 +1,7 @@
 """Training, saving, scoring, search, streaming and sinks."""
 
 import datetime
+import os
 import tempfile
 
 import pytest
@@ -15,7 +16,7 @@ from snippetry.plans.search import search_best, search_space
 from snippetry.sources.corpus import read_csv, read_json, require_columns, with_content_id
 from snippetry.sources.sinks import load_model, save_model, write_csv, write_features, write_metrics
 from snippetry.sources.tables import HUMAN, MACHINE
-from snippetry.streaming.score_stream import snippet_stream, start_scoring
+from snippetry.streaming.score_stream import read_scores, snippet_stream, start_scoring, start_scoring_once
 
 
 @pytest.fixture(scope="module")
@@ -86,6 +87,36 @@ def test_stream_equals_batch(spark, lr, parts):
     assert got == score(lr, parts[2], "lr").orderBy("snippet_id").collect()
 
 
+def test_replayed_batches_give_their_rows_once(spark, lr, parts):
+    """The last batch is scored again after its commit is lost; a second stream on the same sink adds rows and replaces none."""
+    root = tempfile.mkdtemp(prefix="snippetry-once-")
+    parts[2].repartition(3).write.parquet(f"{root}/in")
+    want = score(lr, parts[2], "lr").orderBy("snippet_id").collect()
+
+    def run(state):
+        stream = snippet_stream(spark, f"{root}/in", parts[2].schema, files_per_trigger=1)
+        query = start_scoring_once(lr, stream, f"{root}/out", f"{root}/{state}", "v1")
+        query.awaitTermination()
+        return [p["batchId"] for p in query.recentProgress if p["numInputRows"]]
+
+    def got():
+        scores = read_scores(spark, f"{root}/out")
+        return scores.select(*want[0].__fields__, "stream", "batch", "model_version").orderBy("snippet_id", "stream").collect()
+
+    first = run("state")
+    assert [r[: len(want[0])] for r in got()] == [tuple(r) for r in want]
+    assert {(r["batch"], r["model_version"]) for r in got()} == {(b, "v1") for b in first}
+    before = got()
+    for name in (f"{max(first)}", f".{max(first)}.crc"):
+        os.remove(f"{root}/state/commits/{name}")
+    assert run("state") == [max(first)]
+    assert got() == before
+    run("other")
+    assert len(got()) == 2 * len(want)
+    with pytest.raises(ValueError, match="cannot name"):
+        start_scoring_once(lr, parts[2], root, root, "a/b")
+
+
 def test_boosted_trees_with_early_stopping(parts):
     trained = training.train_gbt_tfidf(parts[0], parts[1], rounds=5, patience=2, depth=2, max_features=50)
     assert 1 <= trained.rounds <= 5
@@ -204,7 +235,7 @@ def test_content_ids(spark):
 
 
 @pytest.mark.parametrize("name", ["train_lr", "train_gbt_tfidf", "train_gbt_embed", "early_stop_prefix", "search_lr", "score_lr",
-                                  "score_gbt_tfidf", "score_gbt_embed", "score_stream"])
+                                  "score_gbt_tfidf", "score_gbt_embed", "score_stream", "score_stream_once"])
 def test_registered_jobs_run_with_the_defaults(spark, folder, monkeypatch, name):
     class Called(Exception):
         pass
