@@ -173,8 +173,8 @@ def matches(index: PositionalIndex, benchmark: DataFrame, window: int = 10, slop
             item_id: str = "item_id", text: str = "text") -> DataFrame:
     """(segment, first, item_id, begin, end, phrase): spans [begin, end) of places covered by an item's windows in the document
     whose first place is ``first``; those with phrase hold only exact occurrences, the others all within ``slop``."""
-    if not 0 <= slop < GAP:
-        raise ValueError(f"slop must be below {GAP}")
+    if slop < 0 or slop and slop + window > GAP:
+        raise ValueError(f"slop and window must come to {GAP} places at most, as documents lie that far apart")
     spark = benchmark.sparkSession
     found = spark.createDataFrame([], _MATCHES)
     for block in _blocks(benchmark, block_words, item_id, text):
