@@ -4,7 +4,8 @@ A page's visible text lines are counted once a page and host; a line on more tha
 least ``min_pages``) is boilerplate there and is dropped from that host's pages. Only SQL functions are used. Counting
 combines before the shuffle, so a host with a third of all pages or a line on all of them is no hot group. Of a host's
 lines at most (mean lines a page) / ratio can be over the ratio, so the list that a host's pages are joined with is as
-bounded as a page.
+bounded as a page. Lists of up to ``LIST_BYTES`` together are broadcast and no page is moved; beyond that each host's pages are
+dealt over ``SALTS`` tasks, and its list to each of them.
 
 Defined cases: null html has no lines; an empty one neither. Pages whose host is unknown (null or odd url) keep all lines.
 Repeated rows count as pages of their own. Host names are lower-cased. Other columns are not carried, so names can't clash.
@@ -14,6 +15,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from snippetry.session import stage
+
+#: Boilerplate lists of this size together are broadcast.
+LIST_BYTES = 32 << 20
+#: Tasks that a host's pages are dealt over where the lists are larger.
+SALTS = 32
+
 # Fixed value: tags that end a line of visible text.
 BLOCK = (
     "address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h1|h2|h3|h4|h5|h6|head|header|hr|html|li|main|nav|"
@@ -59,10 +67,18 @@ def boilerplate(pages: DataFrame, ratio: float = 0.3, min_pages: int = 3, url: s
 
 
 def drop_boilerplate(pages: DataFrame, ratio: float = 0.3, min_pages: int = 3, page_id: str = "page_id", url: str = "url",
-                     html: str = "html") -> DataFrame:
+                     html: str = "html", list_bytes: int = LIST_BYTES) -> DataFrame:
     """(page_id, host, lines, kept): all lines of each page and those left, in order."""
-    found = boilerplate(pages, ratio, min_pages, url, html)
-    lined = pages.select(F.col(page_id).alias("page_id"), host(url).alias("host"), html_lines(html).alias("lines"))
-    joined = lined.join(found, "host", "left")
+    found = stage(boilerplate(pages, ratio, min_pages, url, html), "site-boilerplate")
+    # A key takes 16 bytes and 16 more of the array around it.
+    held = found.agg(F.sum(F.size("line_keys").cast("bigint") * 32 + F.length("host") + 64).alias("held")).first()["held"] or 0
+    if held <= list_bytes:
+        lined = pages.select(F.col(page_id).alias("page_id"), host(url).alias("host"), html_lines(html).alias("lines"))
+        joined = lined.join(F.broadcast(found), "host", "left")
+    else:
+        salt = F.pmod(F.xxhash64(F.col(page_id), F.col(url)), F.lit(SALTS)).cast("int").alias("salt")
+        lined = pages.select(F.col(page_id).alias("page_id"), host(url).alias("host"), salt, html_lines(html).alias("lines"))
+        dealt = found.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        joined = lined.join(dealt, ["host", "salt"], "left")
     kept = F.filter("lines", lambda x: ~F.array_contains(F.col("line_keys"), _line_key(x)))
     return joined.select("page_id", "host", "lines", F.when(F.col("line_keys").isNull(), F.col("lines")).otherwise(kept).alias("kept"))

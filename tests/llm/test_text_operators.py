@@ -42,6 +42,14 @@ def test_proximity_is_told_from_phrases(spark):
     assert [(got[i]["n_hit"], got[i]["n_near"]) for i in range(4)] == [(4, 0), (0, 1), (0, 0), (0, 0)]
 
 
+def test_proximity_does_not_reach_the_next_document(spark):
+    item = [(1, "a a a a a a a a a f")]
+    with pytest.raises(ValueError, match="slop and window"):
+        hits(spark, ["a", "f"], item, slop=57)
+    got = hits(spark, ["a", "f"], item, slop=decontamination.GAP - 10)
+    assert [got[i]["n_near"] for i in range(2)] == [0, 0]
+
+
 def test_decontamination_of_odd_and_empty_tables(spark):
     docs = fx.documents(spark)
     bench = spark.createDataFrame([(1, "one two")], "item_id bigint, text string")
@@ -210,15 +218,18 @@ def test_classifier_on_odd_rows(spark):
 # --- line dedup
 
 
-def test_boilerplate_is_relative_to_the_site(spark):
+@pytest.mark.parametrize("list_bytes", [line_dedup.LIST_BYTES, 0])
+def test_boilerplate_is_relative_to_the_site(spark, list_bytes):
     page = "<nav>Home</nav><p>text {0}</p><script>var x</script><!-- Home --><p>{1}"
     given = [(i, f"http://A.example/{i}", page.format(i, "shared" if i < 2 else f"own {i}")) for i in range(4)]
     given += [(9, "http://b.example/", "<p>Home</p><p>Home</p>"), (10, None, "<p>Home</p>"), (11, "http://a.example:80/x", None), (12, "odd", "")]
     pages = spark.createDataFrame(given, "page_id bigint, url string, html string").withColumn("host", F.lit("clash"))
-    got = {r["page_id"]: r for r in line_dedup.drop_boilerplate(pages).collect()}
+    got = {r["page_id"]: r for r in line_dedup.drop_boilerplate(pages, list_bytes=list_bytes).collect()}
     assert got[0]["kept"] == ["text 0", "shared"] and got[3]["kept"] == ["text 3", "own 3"] and got[0]["host"] == "a.example"
     assert got[9]["kept"] == ["Home", "Home"] and got[10]["kept"] == ["Home"] and got[11]["lines"] == [] and got[12]["host"] is None
-    assert line_dedup.drop_boilerplate(pages.where("false")).count() == 0
+    assert line_dedup.drop_boilerplate(pages.where("false"), list_bytes=list_bytes).count() == 0
+    # A repeated page is a page of its own, and keeps its row.
+    assert line_dedup.drop_boilerplate(pages.union(pages), list_bytes=list_bytes).count() == 2 * len(given)
 
 
 def test_language_keeps_rare_words_and_grams(spark, folder):
