@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from snippetry.operators import gram_counting, tfidf
@@ -72,3 +73,19 @@ def test_stage_saves_and_loads(spark, tmp_path):
     df = spark.createDataFrame([("ABCabc é😀é",), (None,)], "t string")
     out = [r["c"] for r in loaded.transform(df).select("c").collect()]
     assert out[0].size == 2 and list(out[0].toArray()) == [2, 1] and list(out[1].toArray()) == [0, 0]
+
+
+def test_vectors_leave_a_batch_in_bounded_parts(spark, monkeypatch):
+    texts = random_texts(200) + [None]
+    grams = sorted(set().union(*[brute(t, 1, 3) for t in texts if t]))
+    monkeypatch.setattr(gram_counting, "HELD_HITS", 60)
+    table = gram_counting.GramTable(grams, 1, 3)
+    parts = [p.to_pylist() for p in gram_counting.vectors(iter([pa.array(texts), pa.array(texts[:3])]), table)]
+    assert len(parts) > 20
+    assert all(sum(len(v["indices"]) for v in part[:-1]) < 60 for part in parts)
+    found = [dict(zip(v["indices"], v["values"])) for part in parts for v in part]
+    assert found == [{grams.index(g): c for g, c in brute(t or "", 1, 3).items()} for t in texts + texts[:3]]
+    monkeypatch.undo()
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, code_clean string").coalesce(1)
+    counted = gram_counting.GramCounter(vocabulary=grams, low=1, high=3).transform(rows).orderBy("id").collect()
+    assert [dict(zip(r["_tf"].indices.tolist(), r["_tf"].values.tolist())) for r in counted] == found[: len(texts)]
