@@ -12,7 +12,7 @@ from importlib import import_module
 
 from pyspark import SparkContext, StorageLevel, keyword_only
 from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import SQLTransformer, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -27,8 +27,11 @@ from snippetry.operators.evaluation import auc_value, roc_auc
 from snippetry.operators.labels import LabelIndex, class_weights, positive_weight, weight_column
 from snippetry.operators.scaling import ScalerModel, fit_scaler
 from snippetry.operators.tfidf import CharTfidf, CharTfidfModel
+from snippetry.plans import perceptron
 from snippetry.session import stage
 
+# Rows that keep a core busy for longer than a task of a perceptron's step costs.
+PERCEPTRON_ROWS = 1024
 HASHED_ENCODER = "snippetry.operators.embedding:hashed_word_encoder"
 
 
@@ -140,14 +143,20 @@ def fit_features(train: DataFrame, text: str = "tfidf", dense: list[str] = FEATU
     return FittedFeatures(head, tail, prepared, scaler, tfidf)
 
 
-def packed(rows: DataFrame, dense: bool = False, part_bytes: int = 64 << 20) -> DataFrame:
+def packed(rows: DataFrame, dense: bool = False, part_bytes: int = 64 << 20, part_rows: int | None = None) -> DataFrame:
     """``rows`` in as few partitions as hold ``part_bytes`` of features each: learners run many short jobs over the same rows,
-    and each task of them costs more than it computes if the rows are few. Never more partitions than there were. ``dense``
-    counts four bytes for every feature, as trees bin all of them."""
+    and each task of them costs more than it computes if the rows are few. ``dense`` counts four bytes for every feature, as
+    trees bin all of them. With ``part_rows``, for learners that compute much a row, all cores get a partition as long as each holds so
+    many rows, sorted by key where rows have to be dealt anew; else there are never more partitions than there were."""
     parts = F.unwrap_udt("features")
     size = F.coalesce(parts["size"], F.size(parts["values"])) * 4 if dense else F.size(parts["values"]) * 12
-    held = rows.agg(F.sum(size.cast("bigint") + 64).alias("held")).first()["held"] or 0
-    return rows.coalesce(max(1, -(-held // part_bytes)))
+    found = rows.agg(F.sum(size.cast("bigint") + 64).alias("held"), F.count("*").alias("n")).first()
+    wanted = max(1, -(-(found["held"] or 0) // part_bytes))
+    if part_rows:
+        wanted = max(wanted, min(rows.sparkSession.sparkContext.defaultParallelism, found["n"] // part_rows))
+        if rows.rdd.getNumPartitions() < wanted:
+            return rows.repartition(wanted, "snippet_id").sortWithinPartitions("snippet_id")
+    return rows.coalesce(wanted)
 
 
 def train_lr(train: DataFrame, c: float = 10.0, tol: float = 3e-3, max_iter: int = 1000, balanced: bool = True,
@@ -281,25 +290,14 @@ def train_mlp(train: DataFrame, validation: DataFrame, hidden: tuple[int, int] =
     validation AUC is kept."""
     labels = LabelIndex.fit(train).require_two()
     fitted = fit_features(train, text, dense=[], **features)
-    data = packed(fitted.training_rows(labels)).persist(StorageLevel.MEMORY_AND_DISK)
-    width = embedding_dim(fitted.prepared)
-    best, best_auc, weights, curve = None, float("-inf"), None, []
-    try:
-        held = stage(fitted.rows(validation, labels), "validation-features")
-        for epoch in range(epochs):
-            learner = MultilayerPerceptronClassifier(
-                featuresCol="features", labelCol="label_idx", layers=[width, *hidden, len(labels.classes)],
-                maxIter=steps_per_epoch, blockSize=block_size, seed=seed,
-            )
-            if weights is not None:
-                learner = learner.setInitialWeights(weights)
-            model = learner.fit(data)
-            weights = model.weights
-            scored = model.transform(held).withColumn("_p", vector_to_array("probability")[1])
-            auc = auc_value(scored, "_p", "label_idx")
-            curve.append((epoch, auc))
-            if best is None or (auc is not None and auc > best_auc):
-                best, best_auc = model, auc if auc is not None else best_auc
-    finally:
-        data.unpersist()
-    return Trained(PipelineModel([*fitted.stages, best]), labels, None, None, max(curve, key=lambda p: p[1] or 0)[0], curve)
+    data = packed(fitted.training_rows(labels), part_rows=PERCEPTRON_ROWS)
+    sizes = [embedding_dim(fitted.prepared), *hidden, len(labels.classes)]
+    held = stage(fitted.rows(validation, labels), "validation-features")
+    best, best_auc, curve = None, float("-inf"), []
+    for epoch, weights in enumerate(perceptron.fit_rounds(data, sizes, epochs, steps_per_epoch, seed)):
+        auc = auc_value(perceptron.scored(held, weights, sizes), "p", "label_idx")
+        curve.append((epoch, auc))
+        if best is None or (auc is not None and auc > best_auc):
+            best, best_auc = weights, auc if auc is not None else best_auc
+    model = perceptron.fitted_model(best, sizes, block_size, seed)
+    return Trained(PipelineModel([*fitted.stages, model]), labels, None, None, max(curve, key=lambda p: p[1] or 0)[0], curve)
