@@ -37,6 +37,8 @@ UNDETERMINED = "und"
 LONGEST = 4
 _LETTERS = re.compile(r"[^\W\d_]+")
 _FLUSH = 300_000
+# Texts that a task judges before it passes their words on.
+JUDGED_ROWS = 500
 
 
 def words(text: bytes | None) -> list[str]:
@@ -136,7 +138,7 @@ def _scores(smooth: float, totals: list[Column], items: Column) -> Column:
     return F.array(*[F.log(c / (1 + smooth * items / every)) for c in cells]).cast("array<double>").alias("scores")
 
 
-def train(labelled: DataFrame, lexicon: int = 50_000, smooth: float = 0.1, text: str = "text", lang: str = "lang") -> LanguageModel:
+def train(labelled: DataFrame, lexicon: int = 100_000, smooth: float = 0.1, text: str = "text", lang: str = "lang") -> LanguageModel:
     """Learn from every row with a text and a language."""
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     order = F.length("item")
@@ -163,29 +165,39 @@ def train(labelled: DataFrame, lexicon: int = 50_000, smooth: float = 0.1, text:
 
 
 _PARTIAL = "digest binary, letters boolean, n bigint, sums array<double>, rest array<struct<item: string, times: bigint>>"
+_PAIR = pa.struct([("item", pa.string()), ("times", pa.int64())])
+_PARTIAL_ARROW = pa.schema([("digest", pa.binary()), ("letters", pa.bool_()), ("n", pa.int64()), ("sums", pa.list_(pa.float64())), ("rest", pa.list_(_PAIR))])
 
 
-def _judged_texts(texts: DataFrame, model: LanguageModel, certain_words: int) -> DataFrame:
-    """(digest, lang_pred, score) of the distinct texts among (digest, text) rows, without language if there is no letter. Only
-    words that tasks do not hold, and sums, move between tasks."""
-    shared = texts.sparkSession.sparkContext.broadcast((model.words, model.log_words))
-    arrow = pa.schema([("digest", pa.binary()), ("letters", pa.bool_()), ("n", pa.int64()), ("sums", pa.list_(pa.float64())),
-                       ("rest", pa.list_(pa.struct([("item", pa.string()), ("times", pa.int64())])))])
-
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, log_words = shared.value
-        for batch in batches:
-            letters, sizes, sums, rest = [], [], [], []
-            for value in raw(batch, "text"):
+def _summed(batches: Iterator[pa.RecordBatch], known: dict[str, int], log_words: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Scores of the known words of each text, and its other words with their numbers. A batch has rows by number, whatever their
+    texts hold, so it is passed on in pieces."""
+    for batch in batches:
+        for piece in (batch.slice(i, JUDGED_ROWS) for i in range(0, batch.num_rows, JUDGED_ROWS)):
+            letters, sizes, sums, ends, items, times = [], [], [], [0], [], []
+            for value in raw(piece, "text"):
                 found = words(value)
                 at = [known.get(w, -1) for w in found]
                 letters.append(any(w.isalpha() for w in found) or any(c.isalpha() for w in found for c in w))
                 sizes.append(len(found))
                 sums.append(log_words[[i for i in at if i >= 0]].sum(axis=0).tolist())
                 others = Counter(w for w, i in zip(found, at) if i < 0)
-                rest.append([{"item": w, "times": n} for w, n in others.items()])
-            columns = [batch.column("digest"), letters, sizes, sums, rest]
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+                items += others.keys()
+                times += others.values()
+                ends.append(len(items))
+            pairs = pa.StructArray.from_arrays([pa.array(items, pa.string()), pa.array(times, pa.int64())], fields=list(_PAIR))
+            rest = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+            columns = [piece.column("digest"), *(pa.array(c, f.type) for c, f in zip((letters, sizes, sums), list(_PARTIAL_ARROW)[1:4])), rest]
+            yield pa.RecordBatch.from_arrays(columns, schema=_PARTIAL_ARROW)
+
+
+def _judged_texts(texts: DataFrame, model: LanguageModel, certain_words: int) -> DataFrame:
+    """(digest, lang_pred, score) of the distinct texts among (digest, text) rows, without language if there is no letter. Only
+    words that tasks do not hold, and sums, move between tasks."""
+    shared = texts.sparkSession.sparkContext.broadcast((model.words, model.log_words))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _summed(batches, *shared.value)
 
     with stage_scope(texts.sparkSession) as scope:
         partial = stage(texts.mapInArrow(summed, _PARTIAL).withColumn("row", F.monotonically_increasing_id()), "language-sums")

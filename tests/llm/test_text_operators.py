@@ -5,6 +5,7 @@ from collections import Counter
 import fixtures as fx
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
@@ -273,6 +274,16 @@ def test_language_scores_by_restatement(spark, folder):
         model.drop()
 
 
+def test_language_sums_leave_a_task_in_pieces():
+    texts = [f"known rare{chr(97 + i % 26)} known" if i % 3 else None for i in range(1200)]
+    batch = pa.RecordBatch.from_arrays([pa.array([bytes([i % 256]) for i in range(1200)]), pa.array(texts)], ["digest", "text"])
+    out = list(language_id._summed(iter([batch]), {"known": 0}, np.array([[-1.0, -2.0]])))
+    assert [b.num_rows for b in out] == [500, 500, 200]
+    rows = [r for b in out for r in b.to_pylist()]
+    assert rows[1] == {"digest": b"\x01", "letters": True, "n": 3, "sums": [-2.0, -4.0], "rest": [{"item": "rareb", "times": 1}]}
+    assert rows[600] == {"digest": bytes([600 % 256]), "letters": False, "n": 0, "sums": [0.0, 0.0], "rest": []}
+
+
 def test_a_language_without_a_word_never_beats_the_only_one_with_it(spark):
     large = [("alpha beta gamma " * 50 + f"only{i:c}", "big") for i in range(97, 123)]
     model = language_id.train(spark.createDataFrame(large + [("delta rare", "small"), ("epsilon", "tiny")], "text string, lang string"))
