@@ -57,6 +57,35 @@ def test_corpus_and_row_counts(spark, monkeypatch, held):
     assert {(r["id"], r["gram"]): r["tf"] for r in tfidf.gram_counts(df, "id", "t").collect()} == want
 
 
+@pytest.mark.parametrize("bits, sorted_, held", [(10, 5, 3), (2, 1 << 21, 1 << 21)])
+def test_packed_counts_and_summaries(spark, monkeypatch, bits, sorted_, held):
+    monkeypatch.setattr(gram_counting, "SORTED", sorted_)
+    monkeypatch.setattr(gram_counting, "HELD_KEYS", held)
+    # High n-grams leave few bits a character, so that texts of many characters are counted as strings.
+    low, high = (3, 6) if bits == 10 else (3, 30)
+    many = "".join(chr(0x4E00 + i) for i in range(1500))
+    texts = [*random_texts(30), None, many, "a\0b\0\0c\0", "zebra ézebra", many[:40] + "abc"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, t string")
+    each = [brute((t or "").lower(), low, high) for t in texts]
+    assert {r["gram"]: r["cf"] for r in tfidf.corpus_counts(df, "t", (low, high)).collect()} == dict(sum(each, Counter()))
+    got = {(r["id"], r["gram"]): r["tf"] for r in tfidf.gram_counts(df, "id", "t", (low, high)).collect()}
+    assert got == {(i, g): n for i, own in enumerate(each) for g, n in own.items()}
+    want = set()
+    for i, own in enumerate(each):
+        for n in {len(g) for g in own}:
+            of = [g for g in own if len(g) == n]
+            want.add((i, n, sum(own[g] for g in of), len(of), min(of), max(of)))
+    assert {tuple(r) for r in gram_counting.row_gram_summary(df, "id", "t", low, high).collect()} == want
+
+
+def test_packed_numbers_give_the_same_strings():
+    packer = gram_counting.Packer(6)
+    numbers = packer.numbers("é😀abcabca")
+    keys = packer.keys(numbers, 7, 6)
+    assert packer.strings(keys).to_pylist() == ["é😀abca", "😀abcab", "abcabc", "bcabca", "cabca", "abca", "bca"]
+    assert packer.numbers("a\0") is None and packer.numbers("".join(map(chr, range(1, 1200)))) is None
+
+
 def test_a_very_long_text(spark):
     text = "".join(random.Random(2).choices("abcde ", k=300_000))
     df = spark.createDataFrame([(1, text), (2, "abc")], "id bigint, code_clean string")
