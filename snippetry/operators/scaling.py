@@ -50,13 +50,12 @@ class ScalerModel:
 
 
 def fit_scaler(df: DataFrame, columns: list[str]) -> ScalerModel:
-    """Mean and population deviation of every column in one aggregation pass."""
-    aggs = []
-    for c in columns:
-        value = F.col(c).cast("double")
-        aggs += [F.avg(value).alias(f"m_{c}"), F.stddev_pop(value).alias(f"s_{c}")]
-    row = df.agg(*aggs).first()
-    return ScalerModel([(c, row[f"m_{c}"] or 0.0, row[f"s_{c}"] or 0.0) for c in columns])
+    """Mean and population deviation of every column in one aggregation pass. Cells are grouped by the place of their column: two
+    aggregates a column side by side make code that the JVM only interprets."""
+    cells = df.select(F.posexplode_outer(F.array(*[F.col(c).cast("double") for c in columns])).alias("pos", "value"))
+    found = cells.groupBy("pos").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")).collect()
+    rows = {r["pos"]: r for r in found}
+    return ScalerModel([(c, *((rows[i]["mean"] or 0.0, rows[i]["std"] or 0.0) if i in rows else (0.0, 0.0))) for i, c in enumerate(columns)])
 
 
 def scale(df: DataFrame, model: ScalerModel | None, keep: list[str], prefix: str = "") -> DataFrame:

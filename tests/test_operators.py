@@ -100,6 +100,20 @@ def test_scaler_population_std_and_constants(spark):
         model.check_width(["a"])
 
 
+def test_scaler_fits_each_cell_once(spark, monkeypatch):
+    asked = []
+    own = fit_scaler.__globals__["F"].stddev_pop
+    monkeypatch.setattr(fit_scaler.__globals__["F"], "stddev_pop", lambda c: asked.append(c) or own(c))
+    names = [f"c{i}" for i in range(60)]
+    df = spark.createDataFrame([tuple(float(i * k) for i in range(59)) + (None,) for k in range(4)], ", ".join(f"{n} double" for n in names))
+    model = fit_scaler(df, names)
+    # One pair of aggregates for all columns.
+    assert len(asked) == 1 and model.names == names
+    assert [x for _, *own in model.table[:3] for x in own] == pytest.approx([0, 0, 1.5, 1.25**0.5, 3, 2 * 1.25**0.5])
+    assert model.table[59] == ("c59", 0.0, 0.0)
+    assert fit_scaler(df.where("false"), ["c1"]).table == [("c1", 0.0, 0.0)]
+
+
 def test_align(spark):
     df = spark.createDataFrame([(1, 2.0, None)], "id int, x double, y double")
     assert align(df, ["y", "z", "x"], ["id"]).first() == (1, 0.0, 0.0, 2.0)
