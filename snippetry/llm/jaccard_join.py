@@ -45,7 +45,7 @@ from snippetry.session import stage, stage_scope
 
 LEAF = 256
 # Keys that a task deals out at a time, and shingles of all sets to a bucket.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 BUCKET = 1 << 20
 _KEY_BYTES = 6
 _SHORT_BYTES = 7
@@ -215,7 +215,9 @@ def shared_blocks(docs: DataFrame, shingles: int, shingle: int, percent: int, ch
 
         def full() -> Iterator[pa.RecordBatch]:
             of = np.repeat(np.fromiter(held, np.int64, len(held)), [len(x) for x in held.values()])
-            return cells(np.concatenate(list(held.values())), of, first - number)
+            keys = np.concatenate(list(held.values()))
+            held.clear()
+            return cells(keys, of, first - number)
 
         for batch in batches:
             for piece in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
@@ -228,7 +230,7 @@ def shared_blocks(docs: DataFrame, shingles: int, shingle: int, percent: int, ch
                     size += len(held[short])
                     if size >= most:
                         yield from full()
-                        held, size, number = {}, 0, number + 1
+                        size, number = 0, number + 1
         if held:
             yield from full()
 

@@ -1,5 +1,6 @@
 import fixtures as fx
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from snippetry.llm import count_tree, jaccard_join, mixing, queries, repeated_bytes
@@ -182,3 +183,25 @@ def test_weights_make_documents_likelier(spark):
     got = mixing.mix(docs, percent=40, cap=1, weight=F.col("w"))
     even, odd = (got.where(f"doc_id % 2 = {k} AND taken > 0").count() for k in (0, 1))
     assert 1200 < even and odd < 500 and abs(even + odd - 1600) <= 1
+
+
+def test_dealt_sets_go_before_their_keys_are_ordered(monkeypatch):
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            self.run = run
+            return self
+
+        groupBy = applyInArrow = select
+
+    class Task:
+        get = classmethod(lambda cls: cls())
+        partitionId = staticmethod(lambda: 0)
+
+    monkeypatch.setattr(jaccard_join, "TaskContext", Task)
+    texts = [" ".join(f"w{i}_{k}" for k in range(60)) for i in range(200)]
+    docs = jaccard_join.shared_blocks(Docs(), 10_000, 5, 80, chunk=500)
+    dealt = docs.run(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]))
+    assert next(dealt).num_rows and not dealt.gi_frame.f_locals["held"]
