@@ -12,6 +12,9 @@ start of its digest there, so copies are one member. A chunk sends no more than
 met again, as the key is known to be shared, and leave beside the buckets. So a block that a third of all sets share adds two entries a
 chunk to its bucket. Blocks are neither staged nor carried along with the sets, and texts are not moved for them.
 
+A set is looked at only if it is in as many shared blocks as it must share with any set that it is linked to (each differing shingle
+changes one group, and its empty groups may not have been dealt); others, as of texts that share a passage only, are linked with nothing.
+
 In a first round every member of a block is compared with the block's smallest node: that is linear in the block, and most
 blocks are connected by it. In the second, only blocks that still hold several components are looked at. A block of at most
 ``LEAF`` members gives the pairs between components, by an R-tree of its points if it would fill more than one box. A pair
@@ -49,7 +52,7 @@ CHUNK = 1 << 19
 BUCKET = 1 << 20
 _KEY_BYTES = 6
 _SHORT_BYTES = 7
-_SETS = "doc_id bigint, text_hash bigint, n bigint, digest binary"
+_SETS = "doc_id bigint, text_hash bigint, n bigint, digest binary, fewest bigint, undealt bigint"
 
 
 def word_hashes(texts: list[list[bytes]]) -> list[np.ndarray]:
@@ -103,66 +106,78 @@ class Blocks:
         groups = np.array([self.groups(i) for i in range(int(k.max(initial=0)) + 1)], dtype=np.int64)
         return groups[k] - (a + b - 2 * count_tree.needed(a, b, self.percent)) - undealt
 
-    def of(self, hashes: np.ndarray) -> tuple[np.ndarray, int]:
-        """The blocks of a set, and how many empty groups it left out of the class where these are most."""
+    def _groups(self, hashes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(class, number of groups, group of each shingle) for every class of the smaller of two linked sets, one of them this."""
         n = len(hashes)
         if n < self.smallest:
-            return np.zeros(0, np.uint64), 0
-        least = max(-(-self.percent * n // 100), self.smallest)
-        sums = mixed(hashes + np.uint64(0x51ED270B))
-        out, undealt = [], 0
-        for k in range(self._class(least), self._class(n) + 1):
-            d = self.differing(k)
+            return
+        for k in range(self._class(max(-(-self.percent * n // 100), self.smallest)), self._class(n) + 1):
             m = self.groups(k)
-            group = ((hashes >> np.uint64(16)) % np.uint64(m)).astype(np.int64)
+            yield k, m, ((hashes >> np.uint64(16)) % np.uint64(m)).astype(np.int64)
+
+    def of(self, hashes: np.ndarray) -> tuple[np.ndarray, int]:
+        """The blocks of a set, and how many empty groups it left out of the class where these are most."""
+        out, undealt = [np.zeros(0, np.uint64)], 0
+        sums = mixed(hashes + np.uint64(0x51ED270B))
+        for k, m, group in self._groups(hashes):
             counts = np.bincount(group, minlength=m).astype(np.uint64)
             total = np.zeros(m, np.uint64)
             np.add.at(total, group, sums)
             keys = mixed(mixed(total + counts) + np.arange(m, dtype=np.uint64) + np.uint64(k << 40))
             full = counts > 0
-            out.append(keys if int(full.sum()) <= d else keys[full])
+            out.append(keys if int(full.sum()) <= self.differing(k) else keys[full])
             undealt = max(undealt, m - len(out[-1]))
         return np.concatenate(out), undealt
 
+    def bounds(self, hashes: np.ndarray) -> tuple[int, int]:
+        """Fewest blocks that the set shares with any other that it is linked to, and the empty groups that it leaves out, as above.
+        Of the groups that two sets agree in, no more are left out by either than are empty in this one."""
+        n, fewest, undealt = len(hashes), [], 0
+        for k, m, group in self._groups(hashes):
+            empty = m - int(np.count_nonzero(np.bincount(group, minlength=m)))
+            other = 100 * n // self.percent if k == self._class(n) else self.starts[k + 1] - 1
+            fewest.append(m - (n + other) * (100 - self.percent) // (100 + self.percent) - empty)
+            undealt = max(undealt, empty if m - empty > self.differing(k) else 0)
+        return min(fewest, default=0), undealt
 
-def sets(docs: DataFrame, shingle: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row a document: key, set size and digest of the set."""
+
+def sets(docs: DataFrame, shingle: int, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row a document: key, set size, digest of the set and the bounds of its blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = Blocks(percent)
         for batch in batches:
             for piece in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
                 found = [shingle_set(w, shingle) for w in word_hashes([blank_words(t) for t in raw(piece, "text")])]
                 sizes = pa.array([len(own) for own in found], pa.int64())
                 digests = pa.array([xxhash.xxh3_128_digest(own.tobytes()) for own in found], pa.binary())
-                columns = [piece.column("doc_id"), piece.column("text_hash"), sizes, digests]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n", "digest"])
+                bounds = [pa.array(c, pa.int64()) for c in np.array([blocks.bounds(own) for own in found], np.int64).reshape(-1, 2).T]
+                columns = [piece.column("doc_id"), piece.column("text_hash"), sizes, digests, *bounds]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n", "digest", "fewest", "undealt"])
 
     source = docs.select(*text_key(doc_id, text), F.col(text).alias("text")).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     return source.mapInArrow(run, _SETS)
 
 
 def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, text) of ``nodes`` (node, doc_id, text_hash). A row of ``docs`` that is repeated whole gives its node again. Texts
+    """(node, text, undealt) of ``nodes`` (node, doc_id, text_hash, undealt). A row of ``docs`` that is repeated whole gives its node again. Texts
     stay where they are while the nodes are few."""
-    return join_checked(docs, nodes, same_key(docs, nodes)).select("node", "text")
+    return join_checked(docs, nodes, same_key(docs, nodes)).select("node", "text", "undealt")
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(node, n, hashes, point, undealt) of ``wanted`` (node, doc_id, text_hash), from the texts."""
+def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(node, n, hashes, point, undealt) of ``wanted`` (node, doc_id, text_hash, undealt), from the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = Blocks(percent)
         for batch in batches:
             for piece in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
                 found = [shingle_set(w, shingle) for w in word_hashes([blank_words(t) for t in raw(piece, "text")])]
                 yield pa.RecordBatch.from_arrays([
                     piece.column("node"), pa.array([len(own) for own in found], pa.int64()), pa.array([own.tobytes() for own in found], pa.binary()),
-                    pa.array([count_tree.point(own).astype("<u4").tobytes() for own in found], pa.binary()), pa.array([blocks.of(own)[1] for own in found], pa.int64()),
+                    pa.array([count_tree.point(own).astype("<u4").tobytes() for own in found], pa.binary()), piece.column("undealt"),
                 ], ["node", "n", "hashes", "point", "undealt"])
 
-    # Rows repeated with the same id and text give the same set.
-    found = _texts_of(docs, wanted).mapInArrow(run, "node bigint, n bigint, hashes binary, point binary, undealt bigint")
-    return found.dropDuplicates(["node"])
+    return _texts_of(docs, wanted).mapInArrow(run, "node bigint, n bigint, hashes binary, point binary, undealt bigint")
 
 
 def _packed(numbers: np.ndarray, width: int) -> bytes:
@@ -358,7 +373,7 @@ def _leaf_joined(members: DataFrame, hashes: DataFrame, points: DataFrame, perce
 
 
 def links(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int, leaf: int = LEAF, few: int = count_tree.FAN_OUT) -> DataFrame:
-    """(a, b) links between ``nodes`` (node, digest, doc_id, text_hash, n) that connect all whose sets are similar enough."""
+    """(a, b) links between ``nodes`` (node, digest, doc_id, text_hash, n, fewest, undealt) that connect all whose sets are similar enough."""
     with stage_scope(docs.sparkSession) as scope:
         return scope.keep(_links(docs, nodes, shingle, percent, leaf, few))
 
@@ -366,14 +381,27 @@ def links(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int, leaf: i
 def _links(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int, leaf: int, few: int) -> DataFrame:
     shingles = nodes.agg(F.sum("n")).first()[0] or 0
     dealt = stage(shared_blocks(docs, shingles, shingle, percent).distinct(), "shared-blocks")
-    # Should two sets have the same short digest, both become members.
-    dealt = stage(dealt.join(nodes.select("node", short_digest("digest").alias("short")), "short").select("key", "node"), "block-nodes")
-    shared = dealt.groupBy("key").agg(F.min("node").alias("pivot"))
+    # A set in fewer shared blocks than it shares with any that it is linked to is linked with none. Should two sets have the same
+    # short digest, both become members.
+    held = dealt.groupBy("short").agg(F.count("*").alias("held"))
+    linkable = nodes.withColumn("short", short_digest("digest")).join(held, "short").where("held >= fewest")
+    linkable = stage(linkable.select("short", "node", "doc_id", "text_hash", "undealt"), "candidates")
+    dealt = stage(join_checked(dealt, linkable.select("short", "node"), "short").select("key", "node"), "block-nodes")
+    shared = dealt.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("m")).where("m > 1")
     members = stage(dealt.join(shared, "key"), "block-members")
-    pairs = stage(members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pivot-pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = stage(nodes.join(wanted, "node").select("node", "doc_id", "text_hash"), "candidates")
-    found = stage(_sets_of(docs, wanted, shingle, percent), "candidate-sets")
+    others = members.where("node <> pivot")
+    beside = stage(others.where("m > 2").groupBy("node").agg(F.count("*").alias("beside")), "other-blocks")
+    pairs = others.groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("shared"), F.count_if(F.col("m") > 2).alias("known"))
+    for side in "ab":
+        pairs = pairs.join(beside.select(F.col("node").alias(side), F.col("beside").alias(f"beside_{side}")), side, "left").fillna(0, [f"beside_{side}"])
+    # Blocks that a smaller set is the pivot of may be shared too.
+    shared = F.col("shared") + F.least("beside_a", F.col("beside_b") - F.col("known"))
+    pairs = stage(pairs.select("a", "b", shared.alias("shared")), "pivot-pairs")
+    found = stage(_sets_of(docs, linkable.drop("short"), shingle), "candidate-sets")
+    rows, once = found.agg(F.count("*"), F.count_distinct("node")).first()
+    if rows > once:
+        # Rows repeated with the same id and text give the same set.
+        found = stage(found.dropDuplicates(["node"]), "candidate-sets")
     hashes, wanted = found.select("node", "hashes"), found.select("node", "n", "point", "undealt")
     first = stage(_verified(pairs, hashes, wanted, percent), "pivot-links")
     roots = connected(first)
@@ -396,11 +424,12 @@ def components(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str
     """(doc_id, text_hash, n_shingles, root, component_id), one row a document. component_id is the smallest id of the documents
     that links reach; root numbers the component (null without words)."""
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
-    rows = stage(sets(source, shingle), "shingle-sets")
+    rows = stage(sets(source, shingle, percent), "shingle-sets")
     grouped = rows.where("n > 0").groupBy("digest").agg(
-        F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("key"), F.first("n").alias("n")
+        F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("key"), *[F.first(c).alias(c) for c in ("n", "fewest", "undealt")]
     )
-    nodes = stage(grouped.select(F.monotonically_increasing_id().alias("node"), "digest", "least", "key.doc_id", "key.text_hash", "n"), "set-nodes")
+    nodes = grouped.select(F.monotonically_increasing_id().alias("node"), "digest", "least", "key.doc_id", "key.text_hash", "n", "fewest", "undealt")
+    nodes = stage(nodes, "set-nodes")
     roots = connected(links(source, nodes, shingle, percent))
     placed = nodes.select("node", "digest", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = stage(placed, "placed-nodes")

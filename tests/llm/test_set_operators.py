@@ -57,6 +57,36 @@ def test_every_link_shares_a_block():
                     assert shared >= blocks.least_shared(np.array([len(a)]), np.array([len(b)]), np.array([max(left_a, left_b)]))[0]
 
 
+def test_no_link_is_below_the_fewest_blocks():
+    rnd = np.random.default_rng(6)
+    seen = 0
+    for percent in (50, 80, 90, 95):
+        blocks = jaccard_join.Blocks(percent)
+        for _ in range(300):
+            a = np.unique(rnd.integers(0, 1 << 63, int(rnd.integers(2, 1500)), dtype=np.uint64))
+            cut = int(rnd.integers(0, len(a) * (100 - percent) // 100 + 1))
+            b = np.unique(np.concatenate([a[cut:], rnd.integers(0, 1 << 63, int(rnd.integers(0, cut // 2 + 2)), dtype=np.uint64)]))
+            if min(len(a), len(b)) >= blocks.smallest and count_tree.similar(a, b, percent) and len(np.setxor1d(a, b)):
+                (x, left_a), (y, left_b) = blocks.of(a), blocks.of(b)
+                shared = np.intersect1d(x, y).size
+                assert shared >= max(blocks.bounds(a)[0], blocks.bounds(b)[0])
+                assert (left_a, left_b) == (blocks.bounds(a)[1], blocks.bounds(b)[1])
+                seen += blocks.bounds(a)[0] > 1
+    assert seen > 200
+
+
+def test_texts_that_share_a_passage_only_are_not_looked_at(spark, monkeypatch):
+    """They share blocks, but fewer than near copies must: their sets are never made."""
+    wanted, made = [], jaccard_join._sets_of
+    monkeypatch.setattr(jaccard_join, "_sets_of", lambda docs, nodes, *more: wanted.append(nodes.count()) or made(docs, nodes, *more))
+    passage = fx.text(77, 40)
+    texts = [fx.text(1000 + i, 300) + " " + passage for i in range(12)]
+    texts.append(fx.edited(texts[0], 5, 2))
+    got = components(spark, list(enumerate(texts)), 5, 80)
+    assert [c for _, _, c in sorted(got)] == [*range(12), 0]
+    assert wanted == [2]
+
+
 @pytest.mark.parametrize("chunk, bucket", [(40, 30), (10_000, 1_000_000)])
 def test_shared_blocks_are_all_found(spark, chunk, bucket):
     """Whatever the chunks and buckets, exactly the blocks of two sets or more come back, with all their members."""
