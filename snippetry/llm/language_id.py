@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from snippetry.llm.common import raw
 from snippetry.operators.bounded import join_checked
+from snippetry.operators.tfidf import top_grams
 from snippetry.session import drop_path, stage, stage_scope
 
 UNDETERMINED = "und"
@@ -158,10 +159,11 @@ def train(labelled: DataFrame, lexicon: int = 100_000, smooth: float = 0.1, text
     by_order = range(1, LONGEST + 1)
     of_order = [F.array(*[F.lit(sized.get((x, k), 0)) for k in by_order])[order - 1] for x in languages]
     gram_table = all_grams.select("item", _scores(smooth, of_order, F.array(*[F.lit(n_grams.get(k, 0)) for k in by_order])[order - 1]))
-    top = word_table.orderBy(F.desc("total"), "item").limit(lexicon).collect()
-    log_words = np.array([r["scores"] for r in top], dtype=float).reshape(len(top), len(languages))
+    # As Arrow columns, and from one merge: rows of the driver's own, or as many words from each task, would take most of its memory.
+    top = top_grams(word_table.withColumnsRenamed({"item": "gram", "total": "cf"}), lexicon).select("gram", "scores").toArrow()
+    log_words = top["scores"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(top.num_rows, len(languages))
     paths = [all_words.staged_path, all_grams.staged_path]
-    return LanguageModel(languages, {r["item"]: i for i, r in enumerate(top)}, log_words, word_table.drop("total"), gram_table, paths)
+    return LanguageModel(languages, {w: i for i, w in enumerate(top["gram"].to_pylist())}, log_words, word_table.drop("total"), gram_table, paths)
 
 
 _PARTIAL = "digest binary, letters boolean, n bigint, sums array<double>, rest array<struct<item: string, times: bigint>>"

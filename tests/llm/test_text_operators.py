@@ -243,6 +243,20 @@ def test_language_keeps_rare_words_and_grams(spark, folder):
         assert r["lang_pred"] == wide[r["doc_id"]]["lang_pred"] and abs(r["score"] - wide[r["doc_id"]]["score"]) < 1e-9
 
 
+def test_frequent_words_reach_the_driver_as_columns(spark, monkeypatch):
+    """Held words are those of highest count, ties by word, and no word is a row that the driver collects."""
+    counts = {f"{chr(97 + i // 26)}{chr(97 + i % 26)}": 1 + i % 7 for i in range(120)}
+    rows_ = [(" ".join([w] * n), "de" if i % 3 else "en") for i, (w, n) in enumerate(counts.items())]
+    docs, sizes = spark.createDataFrame(rows_, "text string, lang string"), []
+    collect = type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda df: sizes.append(collect(df)) or sizes[-1])
+    model = language_id.train(docs, lexicon=60)
+    assert list(model.words) == sorted(counts, key=lambda w: (-counts[w], w))[:60] and model.log_words.shape == (60, 2)
+    assert max(map(len, sizes)) < 30
+    held = {r["item"]: r["scores"] for r in collect(model.word_table)}
+    assert all(list(model.log_words[i]) == held[w] for w, i in model.words.items())
+
+
 def test_language_of_rare_words_and_copies(spark):
     rows_ = [(i, "aa aa aa bb", "de") for i in range(9)] + [(9, "cc", "en"), (10, "cc dd", "en")]
     model = language_id.train(spark.createDataFrame(rows_, "doc_id bigint, text string, lang string"), lexicon=1)
