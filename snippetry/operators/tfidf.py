@@ -111,7 +111,7 @@ class CharTfidf:
         chosen = self.select(prepared.select(self.text))
         counting = count_stages([gram for gram, _ in chosen], self.text, self.ngram_range)
         rows = PipelineModel(counting).transform(prepared)
-        rows = stage(rows, "gram-vectors")
+        rows = stage(rows, "gram-vectors", wide=True)
         n_docs = rows.count()
         held = rows.select(F.explode_outer(F.unwrap_udt("_tf")["indices"]).alias("idx")).where(F.col("idx").isNotNull())
         df = {r["idx"]: r["df"] for r in held.groupBy("idx").agg(F.count("*").alias("df")).collect()}

@@ -169,14 +169,12 @@ def train_lr(train: DataFrame, c: float = 10.0, tol: float = 3e-3, max_iter: int
     sizes = {r["label"]: r for r in class_weights(fitted.prepared).collect()}
     weights = {k: (r["weight"] if balanced else 1.0) for k, r in sizes.items()}
     total = sum(r["n"] * weights[k] for k, r in sizes.items())
-    data = packed(rows.withColumn("weight", weight_column(weights, "label"))).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model = LogisticRegression(
-            featuresCol="features", labelCol="label_idx", weightCol="weight", elasticNetParam=0.0,
-            standardization=False, regParam=1.0 / (c * total), tol=tol, maxIter=max_iter,
-        ).fit(data)
-    finally:
-        data.unpersist()
+    # Not persisted: the learner keeps its own blocks of the rows, which it reads twice.
+    data = packed(rows.withColumn("weight", weight_column(weights, "label")))
+    model = LogisticRegression(
+        featuresCol="features", labelCol="label_idx", weightCol="weight", elasticNetParam=0.0,
+        standardization=False, regParam=1.0 / (c * total), tol=tol, maxIter=max_iter,
+    ).fit(data)
     return Trained(PipelineModel([*fitted.stages, model]), labels, fitted.scaler, fitted.tfidf)
 
 
